@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op10_simhash_vptree": simhash.op10_simhash_vptree,
     }
 
