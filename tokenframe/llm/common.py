@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
@@ -67,7 +68,7 @@ def text_chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES):
     n = len(texts)
     if not n:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < n:

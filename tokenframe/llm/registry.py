@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import bpe, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op10_simhash_vptree": simhash.op10_simhash_vptree,
     }
