@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, simhash
+from . import bpe, chat, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op8_chat_formatting": chat.op8_chat_formatting,
         "op10_simhash_vptree": simhash.op10_simhash_vptree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_formatting": chat.OP8_SQL}
