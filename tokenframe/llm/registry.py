@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, simhash
+from . import bpe, chat, packing, simhash, topk
 
 
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op6_exact_top_k": topk.op6_exact_top_k,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op10_simhash_vptree": simhash.op10_simhash_vptree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat.OP8_SQL}
+    return {"op6_exact_top_k": topk.OP6_SQL, "op8_chat_formatting": chat.OP8_SQL}
