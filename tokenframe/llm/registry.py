@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, simhash, topk
+from . import bpe, chat, packing, simhash, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op6_exact_top_k": topk.op6_exact_top_k,
         "op8_chat_formatting": chat.op8_chat_formatting,
