@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, simhash, topk, toxicity
+from . import bpe, chat, langid, packing, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op6_exact_top_k": topk.op6_exact_top_k,
         "op8_chat_formatting": chat.op8_chat_formatting,
+        "op9_language_id": langid.op9_language_id,
         "op10_simhash_vptree": simhash.op10_simhash_vptree,
     }
 
