@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, packing, simhash, topk, toxicity
+from . import bpe, chat, langid, lm, packing, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op6_exact_top_k": topk.op6_exact_top_k,
+        "op7_stupid_backoff": lm.op7_stupid_backoff,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_language_id": langid.op9_language_id,
         "op10_simhash_vptree": simhash.op10_simhash_vptree,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": topk.OP6_SQL, "op8_chat_formatting": chat.OP8_SQL}
+    return {"op6_exact_top_k": topk.OP6_SQL, "op7_stupid_backoff": lm.OP7_SQL, "op8_chat_formatting": chat.OP8_SQL}
