@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, lm, packing, simhash, topk, toxicity
+from . import bpe, chat, langid, lm, packing, quality, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_robust_outliers": quality.op4_robust_outliers,
         "op6_exact_top_k": topk.op6_exact_top_k,
         "op7_stupid_backoff": lm.op7_stupid_backoff,
         "op8_chat_formatting": chat.op8_chat_formatting,
