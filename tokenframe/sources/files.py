@@ -17,7 +17,7 @@ def text_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         return spark.createDataFrame([], "doc_pos long, path string, text string")
     read = spark.read.format("binaryFile").load(listed).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
     order = spark.createDataFrame([(i, p.removeprefix("file://")) for i, p in enumerate(listed)], "doc_pos long, path string")
-    return order.join(read.dropDuplicates(["path"]), "path").select("doc_pos", "path", "text")
+    return order.join(read.dropDuplicates(["path"]), "path", "left").select("doc_pos", "path", F.coalesce("text", F.lit("")).alias("text"))  # empty files aren't scanned
 
 
 def path_list(text: str) -> list[str]:
