@@ -29,7 +29,7 @@ from .common import segment_sums, ship, table
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 #: Text bytes of a chunk, and of the corpus per hash bucket.
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 24 << 20, 24
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 12 << 20, 24
 SCORED = "doc_id long, n_tokens long, log_score double, score double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,11 +113,12 @@ def _explode(order: int, buckets: int):
     def run(key, docs):
         grams = Grams(docs.column("text"), order, buckets)
         cuts = [np.searchsorted(b, np.arange(buckets + 1)) for b in grams.bucket]
+        some = np.unique(np.concatenate(grams.bucket))  # buckets without n-grams of this chunk get no row
         out = []
-        for b in range(buckets):
+        for b in some.tolist():
             part = [x for k in range(order) for x in (_six(grams.keys[k][cuts[k][b] : cuts[k][b + 1]]), grams.times[k][cuts[k][b] : cuts[k][b + 1]].tobytes())]
             out.append(_pack(part))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * buckets, pa.int32()), "bucket": pa.array(range(buckets), pa.int32()), "grams": pa.array(out, pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(out), pa.int32()), "bucket": pa.array(some, pa.int32()), "grams": pa.array(out, pa.binary())})
 
     return run
 
