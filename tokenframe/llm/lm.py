@@ -64,7 +64,7 @@ class Grams:
         for k in range(order):
             ends = np.flatnonzero(self.place >= k)  # positions that end an n-gram of k + 1 words
             if k:
-                gram = _mixed(gram[:-1] * _MIX + words[1:] + np.uint64(k)) if n else gram
+                gram = _mixed(gram[:-1] * _MIX + words[k:] + np.uint64(k))
             own = gram[ends - k]
             distinct, inverse, times = np.unique(own, return_inverse=True, return_counts=True)
             bucket = (distinct & np.uint64(0xFFFF)) % np.uint64(buckets)
