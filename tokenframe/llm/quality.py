@@ -35,7 +35,7 @@ _BIN, _BINS = 64, 1 << 14
 
 
 def _let(value: Column, then) -> Column:
-    """then(value), with the value computed once."""
+    """then(value), with the value computed once, even where the optimizer moves the expression."""
     return F.transform(F.array(value), then)[0]
 
 
@@ -67,7 +67,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     parts = docs.select("doc_id", "lang", "source", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     out = parts.select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), _let(F.col("words"), _repeat_words).cast("long").alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
