@@ -31,6 +31,8 @@ from .common import ranges, ship, table, text_chunks
 
 #: Words that a worker remembers between chunks; beyond it, it starts afresh.
 KEPT_WORDS = 400_000
+#: Text bytes of a chunk; every chunk pays once for each rank that is active in it.
+CHUNK = 8 << 20
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -253,7 +255,7 @@ def _rows(path: str, columns):
         chunk = ChunkEncoder(path)
         for batch in batches:
             texts = batch.column(1)
-            for first, last in text_chunks(texts):
+            for first, last in text_chunks(texts, CHUNK):
                 ids, counts = chunk.encode(texts[first:last].to_pylist())
                 ends = np.cumsum(counts)
                 yield columns(chunk.of, batch.column(0)[first:last], [ids[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())])

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
 CHUNK_BYTES = 8 << 20
@@ -92,3 +93,13 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
+
+
+def hash_share(key, wanted: int, there: int):
+    """A condition that a share of rows meets by the hash of `key`: about four times `wanted` of `there`, all if there are fewer.
+
+    It bounds what a sample's exact ranking has to sort, however large the table.
+    """
+    if there <= 4 * wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 40)) < int(4 * wanted / there * (1 << 40))

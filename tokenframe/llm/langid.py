@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import segment_sums, ship, table, text_chunks
+from .common import hash_share, segment_sums, ship, table, text_chunks
 from .toxicity import fold
 
 TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 400, 20_000, 64
@@ -158,10 +158,14 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, lan
     """Fit on a bounded sample of the documents outside the held-out fold."""
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     usable = docs.select(doc_id, "lang", "text").where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & (F.length("text") <= chars))
-    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    there = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    common = list(there)
     each = min(rows, max(1, 8 * rows // max(1, len(common))))
+    share = F.lit(False)
+    for lang, n in there.items():
+        share = F.when(F.col("lang") == lang, hash_share(F.col("doc_id"), each, n)).otherwise(share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang").distinct()  # at most `each` ids a language
+    ids = usable.where(share).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang").distinct()  # at most `each` ids a language
     sample = usable.join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("doc_id", "lang", "text").limit(each * len(common)).select("text", "lang").toArrow()
     return fit(sample.column("text").combine_chunks().cast(pa.string()), sample.column("lang").to_pylist())
 

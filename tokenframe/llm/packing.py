@@ -30,6 +30,8 @@ from .common import ship, table, written
 LENGTH, END_ID = 2048, 0
 #: Pieces of one hash bucket, about.
 BUCKET_ROWS = 100_000
+#: Intervals of a plan that are broadcast at most, 48 bytes each; a plan has a few per length.
+BROADCAST_ROWS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -164,7 +166,10 @@ def place(pieces: DataFrame, length: int = LENGTH, bucket_rows: int = BUCKET_ROW
     sizes = keyed.groupBy("length", "bucket").count()
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).drop("count")
     totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    plan = spark.createDataFrame(best_fit_decreasing(totals, length), "length long, first_rank long, end_rank long, first_sequence long, m long, first_offset long")
+    intervals = best_fit_decreasing(totals, length)
+    plan = spark.createDataFrame(intervals, "length long, first_rank long, end_rank long, first_sequence long, m long, first_offset long")
+    if len(intervals) <= BROADCAST_ROWS:  # else a join on the length
+        plan = F.broadcast(plan)
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("rank", F.row_number().over(order)).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
     at = F.col("rank") - F.col("first_rank")

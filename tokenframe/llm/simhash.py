@@ -25,8 +25,8 @@ from .common import drop_written, ship, table, written
 RADIUS = 2
 SHINGLE_WORDS = 3
 SEED = 42
-#: Distinct fingerprints at home in one shard, about; the rows that shape the shards, at most.
-SHARD_ROWS, SAMPLE_ROWS = 32_768, 16_384
+#: Distinct fingerprints at home in one shard, about; the rows that shape the shards: 16 a shard, between these bounds.
+SHARD_ROWS, SAMPLE_ROWS = 32_768, (16_384, 1 << 20)
 LEAF = 96
 
 
@@ -216,14 +216,15 @@ def components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     depth = int(np.ceil(np.log2(max(1, n / shard_rows))))
     tree = None
     if depth:
-        every = max(1, n // SAMPLE_ROWS)
-        sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy()
-        tree = build_tree(sample.view(np.uint64), depth)
+        rows = min(SAMPLE_ROWS[1], max(SAMPLE_ROWS[0], 16 << depth))
+        sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // rows))) == 0).select("fp").limit(rows).toArrow()
+        tree = build_tree(sample.column("fp").to_numpy().view(np.uint64), depth)
+    sent = spark.sparkContext.broadcast(tree)
 
     def routed(batches):
         for batch in batches:
             x = batch.column(0).to_numpy().view(np.uint64)
-            shard, rows, visits = route(x, tree, radius)
+            shard, rows, visits = route(x, sent.value, radius)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(x[rows].view(np.int64)), pa.array(visits)], ["shard", "fp", "visits"])
 
     edges = distinct.select("fp").mapInArrow(routed, "shard int, fp long, visits boolean").groupBy("shard").applyInArrow(_forest, "u long, v long")

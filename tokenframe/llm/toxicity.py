@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import segment_sums, ship, table, text_chunks
+from .common import hash_share, segment_sums, ship, table, text_chunks
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 12_000
 WINDOW, DIM, BITS = 4, 4, 18
@@ -152,9 +152,13 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, rounds: int = 6, r
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0))
+    there = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}  # two rows at most
+    share = F.lit(False)
+    for label, n in there.items():
+        share = F.when(F.col("toxic") == label, hash_share(F.col("doc_id"), rows // 2, n)).otherwise(share)
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars)
-    chosen = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows // 2)  # at most `rows` rows
+    chosen = own.where(share).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows // 2)  # at most `rows` rows
     sample = short.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(rows).select("text", "toxic").toArrow()
     return fit(sample.column("text").combine_chunks().cast(pa.string()), sample.column("toxic").to_numpy().astype(np.int64))
 
