@@ -26,17 +26,23 @@ from tokenframe.streaming.encode import encode_stream, read_documents, token_cou
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 with open(BYTE, encoding="utf-8") as f:
     SPEC = json.load(f)
-LITERALS = {
-    Family.GPT2: ("<|endoftext|>",),
-    Family.LLAMA3: ("<|begin_of_text|>", "<|end_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>", "<|reserved_special_token_5|>"),
-    Family.QWEN25: ("<|im_start|>", "<|im_end|>", "<|object_ref_start|>", "<tool_call>", "</tool_call>"),
-    Family.DEEPSEEK_V3: ("<｜begin▁of▁sentence｜>", "<｜end▁of▁sentence｜>", "<｜User｜>", "<｜Assistant｜>"),
+NAMED = {
+    Family.GPT2: "endoftext",
+    Family.LLAMA3: "eot_id begin_of_text reserved_special_token_5 end_of_text end_header_id start_header_id",
+    Family.QWEN25: "endoftext im_end im_start object_ref_start",
 }
-SEAMS = [
-    "12", "345", "1234567", "12345", "hello ", "world", " b", "x" + " " * 20, " " * 20 + "y", "x\n", "\ny", "--\r", "\n\t\r\n", "say", "'s", "it'", "!", "\n", "'towhead", "'S", "long-s ſ whole", " codepoint stays together", "<|endo", "ftext|>", "<|endoftext|>y",
-    "アント", "ニ・ガウディ", "!!!", "???", "a   ", "   b", "foo.", "bar", "", "abc", "345 it'", "s ok", "\n\n\r\n \t\n", "123456789 12 3 4567 12345", "é café ſpecial ſ", "--\r\n\t\r\n foo\r\nbar", "'twas 'Twas \"'s\" ('s)  'll'd're", " " * 70, "1" * 70, "!" * 70,
-    "a" * 33, "a" * 65, "b" * 257, "d" * 1024, "g" * 1025, " " * 193, "a" * 129 + " " + "b" * 257, "a\x00b", "\x1c\x1d x", "\x85\xa0 x", "é Å 각 Ω Å", "a<|endoftext|≯b",
-]
+LITERALS = {family: tuple(f"<|{x}|>" for x in names.split()) for family, names in NAMED.items()}
+LITERALS[Family.QWEN25] += ("</tool_call>", "<tool_call>")
+LITERALS[Family.DEEPSEEK_V3] = tuple(f"<｜{x}｜>" for x in ("User", "Assistant", "end▁of▁sentence", "begin▁of▁sentence"))
+CR, LF, TAB, END = "\r", "\n", "\t", "<|endoftext|>"
+DIGITS = ["12", "345", "12345", "1234567", " ".join(map(str, (123456789, 12, 3, 4567, 12345))), "345 it'", "1" * 70]
+SPACES = ["hello ", "world", " b", " " * 20 + "y", "x" + " " * 20, "a   ", "   b", " " * 70, " " * 193, LF + "y", "x" + LF, LF, LF * 2 + CR + LF + " " + TAB + LF, "--" + CR, LF + TAB + CR + LF]
+QUOTES = ["say", "it'", "'s", "'S", LF + "'towhead", "s ok", " ".join(("'twas", "'Twas", chr(34) + "'s" + chr(34), "('s)", "", "'ll'd're"))]
+WIDE = ["long-s ſ whole", " codepoint stays together", "アント", "ニ・ガウディ", "é café ſpecial ſ", "e\u0301 A\u030a \u1100\u1161\u11a8 \u2126 \u212b", "\x85\xa0 x"]
+MARKS = ["!!!", "???", "!", "foo.", "bar", "!" * 70, "--" + (CR + LF).join(("", TAB, " foo", "bar"))]
+PARTS = ["<|endo", "ftext|>", END + "y", "a" + END + "\u0338b", "<|", "<|not_a_token|>" + END]
+RUNS = [c * n for n, c in ((33, "a"), (65, "a"), (257, "b"), (1024, "d"), (1025, "g"))] + [" ".join(("a" * 129, "b" * 257)), "a\x00b", "\x1c\x1d x", "", "abc"]
+SEAMS = DIGITS + SPACES + QUOTES + WIDE + MARKS + PARTS + RUNS
 
 
 def fuzz(literals, n=400, seed=7):
@@ -126,7 +132,7 @@ def test_malformed_bytes(spark):
 def test_sentence_pieces(spark):
     vocab = toy_pieces()
     own, literal, back = Merger(vocab), literal_pattern(vocab), Decoder(vocab)
-    for text in ["", " ", "the and  then", "▁" * 65 + "x", "\n" * 63 + "x" + "\t" * 35, "é日🚀", "a <unk> b"]:
+    for text in ["", " ", "the and  then", "▁" * 65 + "x", LF * 63 + "x" + TAB * 35, "é日🚀", "a <unk> b"]:
         ids = bytes_ids(own, literal, text.encode())
         df = spark.createDataFrame([(text,)], "text string")
         assert encode(df, vocab).first()["ids"] == ids
@@ -135,7 +141,7 @@ def test_sentence_pieces(spark):
     assert [len(vocab.tokens[i].decode()) for i in runs] == [31, 31, 3]
     byte = vocab.byte_ids
     assert back.text([byte[0xC2], byte[0xA2]]) == "¢"
-    assert back.text([byte[b] for b in b"\x97\xc8\x0f\xe0\xde\x00\xb6"]) == "�" * 7
+    assert back.text([byte[b] for b in bytes.fromhex("97c80fe0de00b6")]) == "�" * 7
     assert bytes_ids(own, literal, b"\x80a") == [byte[0x80], vocab.model_ids[b"a"]]
 
 

@@ -7,6 +7,7 @@ IsWhite_Space; case-insensitive contractions need Unicode folding, because the l
 from __future__ import annotations
 
 from enum import Enum
+from string import punctuation
 
 import regex
 
@@ -22,7 +23,8 @@ class Family(str, Enum):
 
 
 _S, _NS = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
-_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+#: English contractions, in the order in which they are tried.
+_SUFFIXES = "|".join("'" + x for x in "s t re ve m ll d".split())
 _TAIL = rf"{_S}*[\r\n]+|{_S}+(?!{_NS})|{_S}+"
 
 
@@ -30,7 +32,7 @@ def _word_digit_other(digits: str) -> str:
     return rf"(?iu:{_SUFFIXES})|[^\r\n\p{{L}}\p{{N}}]?\p{{L}}+|{digits}| ?[^{_S}\p{{L}}\p{{N}}]+[\r\n]*|{_TAIL}"
 
 
-_ASCII_MARKS = "".join("\\" + c for c in r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")
+_ASCII_MARKS = "".join("\\" + c for c in punctuation)
 _KANA_HAN = "一-龥぀-ゟ゠-ヿ"
 #: What the last pass leaves unmatched: runs of characters of none of its classes, up to one before a letter.
 _GAP = rf"[^{_S}\p{{L}}\p{{M}}\p{{P}}\p{{S}}]+(?![\p{{L}}\p{{M}}])"

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.vocabulary import Vocabulary, VocabularyError
 from .encode import encode, merged, pretokens_of
 
-LLAMA3 = ("<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>")
+LLAMA3 = tuple(f"<|{x}|>" for x in "begin_of_text start_header_id end_header_id eot_id".split())
 QWEN25 = ("<|im_start|>", "<|im_end|>")
-DEEPSEEK_V3 = ("<｜begin▁of▁sentence｜>", "<｜User｜>", "<｜Assistant｜>", "<｜end▁of▁sentence｜>")
+DEEPSEEK_V3 = tuple(f"<｜{x}｜>" for x in ("begin▁of▁sentence", "User", "Assistant", "end▁of▁sentence"))
 DEFAULT_SYSTEM = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."
 
 

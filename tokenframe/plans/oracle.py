@@ -7,10 +7,11 @@ kept out of every negated class.
 from __future__ import annotations
 
 import os
+from string import punctuation
 
 MARK = "\\x{E000}"
 _W = "\\s\\x0b\\x{85}\\p{Z}"
-_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+_SUFFIXES = "|".join("'" + x for x in "s t re ve m ll d".split())
 
 
 def _q(text: str) -> str:
@@ -33,7 +34,7 @@ def _one_pass(digits: str) -> str:
 
 
 _GPT2 = f"{_SUFFIXES}| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_W}\\p{{L}}\\p{{N}}{MARK}]+|[{_W}]+"
-_MARKS = "".join("\\" + c for c in r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")
+_MARKS = "".join("\\" + c for c in punctuation)
 _LAST = f"[{_MARKS}][A-Za-z]+|[^\\r\\n\\p{{L}}\\p{{P}}\\p{{S}}{MARK}]?[\\p{{L}}\\p{{M}}]+| ?[\\p{{P}}\\p{{S}}]+[\\r\\n]*|[{_W}]*[\\r\\n]+|[{_W}]+"
 
 

@@ -8,19 +8,30 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from string import punctuation
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.patterns import Family
 
-_SUFFIXES = "(?i:'s|'t|'re|'ve|'m|'ll|'d)"
-_SPLITS = {
-    "three": _SUFFIXES + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
-    "single": _SUFFIXES + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
-    "digits": r"\p{N}{1,3}",
-    "han": "[一-龥぀-ゟ゠-ヿ]+",
-    "last": "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~][A-Za-z]+|[^\r\n\\p{L}\\p{P}\\p{S}]?[\\p{L}\\p{M}]+| ?[\\p{P}\\p{S}]+[\r\n]*|\\s*[\r\n]+|\\s+(?!\\S)|\\s+",
-}
+_L, _M, _N, _P, _S = (rf"\p{{{c}}}" for c in "LMNPS")
+_BREAK, _SPACE = r"[\r\n]", r"\s"
+
+
+def _word_digit_other(digits: str) -> str:
+    """The split of the two families that differ in their digits."""
+    suffixes = "|".join("'" + x for x in "s t re ve m ll d".split())
+    return "|".join((f"(?i:{suffixes})", rf"[^\r\n{_L}{_N}]?{_L}+", digits, f" ?[^{_SPACE}{_L}{_N}]+{_BREAK}*", f"{_SPACE}*{_BREAK}+", rf"{_SPACE}+(?!\S)", f"{_SPACE}+"))
+
+
+def _marks_and_words() -> str:
+    """The last split of the family with three; its line breaks are raw characters."""
+    marks = "".join("\\" + c if c in "-[\\]" else c for c in punctuation)
+    lines = "[\r\n]"
+    return "|".join((f"[{marks}][A-Za-z]+", f"[^\r\n{_L}{_P}{_S}]?[{_L}{_M}]+", f" ?[{_P}{_S}]+{lines}*", f"{_SPACE}*{lines}+", rf"{_SPACE}+(?!\S)", f"{_SPACE}+"))
+
+
+_SPLITS = {"three": _word_digit_other(_N + "{1,3}"), "single": _word_digit_other(_N), "digits": _N + "{1,3}", "han": "[一-龥぀-ゟ゠-ヿ]+", "last": _marks_and_words()}
 LOW_BAR = "▁"
 EOS_NAMES = ("<|end_of_text|>", "<|endoftext|>", "<｜end▁of▁sentence｜>")
 
