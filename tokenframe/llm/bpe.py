@@ -33,6 +33,7 @@ from .common import ranges, ship, table, text_chunks
 KEPT_WORDS = 400_000
 #: Text bytes of a chunk; every chunk pays once for each rank that is active in it.
 CHUNK = 8 << 20
+_CONTRACTIONS = ["'" + x for x in "s t re ve m ll d".split()]
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -84,7 +85,7 @@ class WordEncoder:
         self.at_once = self.at_once and all(latest.get(x, -1) < rank for rank, (a, b, _) in enumerate(pairs) for x in (a, b))
         self.literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         letter, number, space = _class("L"), _class("N"), "\\t-\\r\\x20\\x85\\xa0"
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+        self.words = re.compile(f"{'|'.join(_CONTRACTIONS)}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
         self.wide = re.compile("[^\\x00-\\u017f]").search
         self._library = None
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
 CHUNK_BYTES = 8 << 20
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_ROOT = str(Path(__file__).resolve().parents[2])
 _own_dir: list[str] = []
 
 
