@@ -356,8 +356,8 @@ def test_top_k_equals_brute_force(spark):
         if q % 100 == 0:
             best = sorted(((-int(x @ y), i) for i, y in usable if i != q and len(y) == len(x)))[:10]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for shard, block in ((64, 2), (100_000, 64)):
-        got = topk.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=shard, block_rows=block)
+    for shard, block in ((1024, 32), (1 << 22, 1 << 20)):
+        got = topk.top_k(df, F.col("vec_id") % 100 == 0, shard_components=shard, block_components=block)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 

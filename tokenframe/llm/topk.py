@@ -5,8 +5,9 @@ segments of a quantised impact; a query takes the segments of all dimensions by
 component times the segment's), adding to a lower bound of every vector's score. What is left is bounded by
 the best unread segment of each dimension, so a vector whose lower bound plus that rest is below the k-th
 lower bound can't be a member. The traversal stops only when few vectors are above it (or nothing is unread),
-and those possible members are rescored exactly. Queries come in blocks against all shards; block and shard
-sizes are fixed, their numbers grow with the data, and each pair returns k rows a query.
+and those possible members are rescored exactly. Queries come in blocks against all shards, and each pair
+returns k rows a query. Shards and blocks hold a bounded number of components, so their numbers grow with the
+data; a small table gets more and smaller blocks, as many as keep all cores busy.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do those with a
 component beyond 2**26 in size after scaling (their products might not fit a long). Vectors of different
@@ -25,7 +26,8 @@ from .common import ship, table, written
 
 SCALE, K = 1024, 10
 LEVELS = 32
-SHARD_ROWS, BLOCK_ROWS = 65_536, 64
+#: Components of an index shard and of a block of queries at most; queries of a block at least.
+SHARD_COMPONENTS, BLOCK_COMPONENTS, LEAST_BLOCK = 1 << 22, 1 << 20, 64
 #: Segments read between two looks at the proof; possible members that are rescored at once, at least.
 STEP, FEW = 96, 256
 FOUND = "query_id long, vec_id long, score long"
@@ -136,11 +138,13 @@ def _block(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = K, shard_components: int = SHARD_COMPONENTS, block_components: int = BLOCK_COMPONENTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that `is_query` selects, their k best among all other rows."""
     packed = written(integers(vectors), "vectors")
-    counts = packed.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = -(-max(counts[0], 1) // shard_rows), -(-max(counts[1], 1) // block_rows)
+    rows, asked, longest = (x or 1 for x in packed.agg(F.count("*"), F.count_if(is_query), F.max("dim")).first())
+    shards = -(-rows * longest // shard_components)
+    busy = -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // shards)
+    blocks = max(-(-asked * longest // block_components), min(busy, -(-asked // LEAST_BLOCK)))
     hashed = F.xxhash64("vec_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     index = packed.select("vec_id", "dim", "packed", F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
