@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat, html_extract, langid, lm, packing, quality, simhash, topk, toxicity
+from . import bpe, chat, html_extract, langid, lm, packing, quality, quality_sql, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": topk.OP6_SQL, "op7_stupid_backoff": lm.OP7_SQL, "op8_chat_formatting": chat.OP8_SQL}
+    return {"op4_robust_outliers": quality_sql.sql(), "op6_exact_top_k": topk.OP6_SQL, "op7_stupid_backoff": lm.OP7_SQL, "op8_chat_formatting": chat.OP8_SQL}
