@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _own_dir: list[str] = []
