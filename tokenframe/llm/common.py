@@ -91,9 +91,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of `values`, zero for empty runs."""
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
+    out = np.zeros(len(lengths))
+    some = lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some], dtype=np.float64)
+    return out
 
 
 def hash_share(key, wanted: int, there: int):

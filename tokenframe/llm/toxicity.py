@@ -77,7 +77,7 @@ class _Net:
     def __init__(self, buckets: np.ndarray, grams: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.buckets, self.grams = buckets, np.maximum(1, grams)
-        self.gram_word = np.repeat(np.arange(len(grams)), grams)
+        self.gram_word = np.repeat(np.arange(len(grams), dtype=np.int32), grams)
         self.runs = grams
         self.embed = (rng.random((DIM, 1 << BITS)) - 0.5).astype(np.float32) / DIM
         self.soft = rng.normal(0, 0.3, (DIM, 2))

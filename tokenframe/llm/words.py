@@ -33,14 +33,14 @@ def ngrams(words: pa.Array, least: int, most: int, bits: int) -> tuple[np.ndarra
     """(bucket of every n-gram, n-grams of each word), word by word."""
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     marked = pc.binary_join_element_wise("<", words.cast(pa.string()), ">", "").cast(pa.binary())
     offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(marked.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
     offsets = offsets - offsets[0]
     sizes = np.diff(offsets)
-    word = np.repeat(np.arange(n), sizes)
-    room = np.repeat(offsets[1:], sizes) - np.arange(len(raw))
+    word = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    room = (np.repeat(offsets[1:], sizes) - np.arange(len(raw))).astype(np.int32)
     buckets, owners = [], []
     rolling = np.zeros(len(raw), np.uint64)
     for size in range(1, most + 1):
@@ -50,10 +50,10 @@ def ngrams(words: pa.Array, least: int, most: int, bits: int) -> tuple[np.ndarra
         if size >= least:
             fits = room[: len(rolling)] >= size
             mixed = (rolling[fits] ^ (rolling[fits] >> np.uint64(29))) * _MULTIPLIER
-            buckets.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
+            buckets.append((mixed >> np.uint64(64 - bits)).astype(np.int32))
             owners.append(word[: len(rolling)][fits])
     if not buckets:
-        return np.zeros(0, np.int64), np.zeros(n, np.int64)
+        return np.zeros(0, np.int32), np.zeros(n, np.int64)
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return np.concatenate(buckets)[order], np.bincount(owners, minlength=n)
