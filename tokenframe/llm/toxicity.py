@@ -4,8 +4,8 @@ Method: a word is the mean of the embeddings of its hashed character n-grams, a
 its words, and a softmax over two classes reads that mean; embeddings and softmax are trained together by
 Adagrad. Unseen misspellings share n-gram vectors with what was seen. A long document's mean would drown a
 few words, so a document is scored by its most toxic window of WINDOW words: training starts from
-whole-document means and goes on with each document's most toxic window; a logistic fit maps that window's
-logit to the score. As the model is linear, scoring needs one number per n-gram, and each distinct word of a
+whole-document means and goes on with each document's most toxic window; a logistic fit, on every fifth
+sample row that training left out, maps that window's logit to the score. As the model is linear, scoring needs one number per n-gram, and each distinct word of a
 chunk is scored once.
 
 Fitting takes a bounded sample: up to TRAIN_ROWS labelled rows, by hash and half of each label where there are as many, of texts
@@ -28,8 +28,10 @@ from . import words
 from .common import hash_share, segment_sums, ship, table, text_chunks
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 12_000
-WINDOW, DIM, BITS = 4, 4, 18
-LEAST, MOST = 3, 5
+WINDOW, DIM, BITS = 2, 4, 18
+LEAST, MOST, LEAST_SEEN = 4, 6, 3
+#: One sample row in so many is kept from training and fits the score instead.
+CHECKED = 5
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -74,12 +76,14 @@ def _sigmoid(x):
 class _Net:
     """Embeddings and softmax with their Adagrad sums; bags are runs of word indices."""
 
-    def __init__(self, buckets: np.ndarray, grams: np.ndarray, seed: int = 7):
+    def __init__(self, buckets: np.ndarray, grams: np.ndarray, times: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.buckets, self.grams = buckets, np.maximum(1, grams)
         self.gram_word = np.repeat(np.arange(len(grams), dtype=np.int32), grams)
         self.runs = grams
-        self.embed = (rng.random((DIM, 1 << BITS)) - 0.5).astype(np.float32) / DIM
+        seen = np.bincount(buckets, weights=times[self.gram_word], minlength=1 << BITS)
+        self.common = (seen >= LEAST_SEEN).astype(np.float32)  # rarer n-grams, and those of other texts, say nothing
+        self.embed = (rng.random((DIM, 1 << BITS)) - 0.5).astype(np.float32) / DIM * self.common
         self.soft = rng.normal(0, 0.3, (DIM, 2))
         self.bias = np.zeros(2)
         self.sums = [np.full_like(self.embed, 1e-8), np.full_like(self.soft, 1e-8), np.full_like(self.bias, 1e-8)]
@@ -87,7 +91,7 @@ class _Net:
     def word_vectors(self) -> np.ndarray:
         return np.stack([segment_sums(e[self.buckets], self.runs) / self.grams for e in self.embed])
 
-    def epoch(self, index, sizes, divisor, labels, rate: float) -> None:
+    def epoch(self, index, sizes, divisor, labels, rate: float, use: np.ndarray) -> None:
         vectors = self.word_vectors()
         hidden = np.stack([segment_sums(v[index], sizes) / divisor for v in vectors], axis=1)
         logits = hidden @ self.soft + self.bias
@@ -95,13 +99,13 @@ class _Net:
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(labels)), labels] -= 1
         weight = 0.5 / np.maximum(1, np.bincount(labels, minlength=2))
-        g = p * weight[labels][:, None]
+        g = p * (weight[labels] * use)[:, None]
         back = (g @ self.soft.T) / divisor[:, None]
         bag = np.repeat(np.arange(len(sizes)), sizes)
         grads = np.zeros_like(self.embed)
         for d in range(DIM):
             of_word = np.bincount(index, weights=back[bag, d], minlength=len(self.runs)) / self.grams
-            grads[d] = np.bincount(self.buckets, weights=of_word[self.gram_word], minlength=1 << BITS)
+            grads[d] = np.bincount(self.buckets, weights=of_word[self.gram_word], minlength=1 << BITS) * self.common
         for value, grad, total in zip((self.embed, self.soft, self.bias), (grads, hidden.T @ g, g.sum(axis=0)), self.sums):
             total += grad * grad
             value -= (rate * grad / np.sqrt(total)).astype(value.dtype)
@@ -118,9 +122,12 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, rounds: int = 6, r
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
     distinct, index, counts = words.split(texts)
-    net = _Net(*words.ngrams(distinct, LEAST, MOST, BITS))
+    net = _Net(*words.ngrams(distinct, LEAST, MOST, BITS), np.bincount(index, minlength=len(distinct)))
+    checked = np.arange(len(labels)) % CHECKED == 0
+    if len(labels) < 20 * CHECKED or not 0 < labels[checked].sum() < checked.sum():
+        checked[:] = False
     for _ in range(epochs):
-        net.epoch(index, counts, np.maximum(1, counts).astype(np.float64), labels, rate)
+        net.epoch(index, counts, np.maximum(1, counts).astype(np.float64), labels, rate, ~checked)
     sizes, divisor, each = windows(counts)
     starts, first = np.cumsum(sizes) - sizes, np.cumsum(each) - each
 
@@ -135,8 +142,11 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, rounds: int = 6, r
         _, chosen = top()
         at = np.repeat(starts[chosen] - (np.cumsum(sizes[chosen]) - sizes[chosen]), sizes[chosen]) + np.arange(int(sizes[chosen].sum()))
         for _ in range(round_epochs):
-            net.epoch(index[at], sizes[chosen], divisor[chosen], labels, rate / 2)
+            net.epoch(index[at], sizes[chosen], divisor[chosen], labels, rate / 2, ~checked)
     best, _ = top()
+    if checked.any():
+        best, labels = best[checked], labels[checked]
+        share = float(labels.mean())
     gram, bias = net.gram_logits()
     mean, spread = float(best.mean()), float(best.std()) or 1.0
     x, a, c = (best - mean) / spread, 1.0, float(np.log(share / (1 - share)))
