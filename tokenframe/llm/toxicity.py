@@ -5,7 +5,7 @@ its words, and a softmax over two classes reads that mean; embeddings and softma
 Adagrad. Unseen misspellings share n-gram vectors with what was seen. A long document's mean would drown a
 few words, so a document is scored by its most toxic window of WINDOW words: training starts from
 whole-document means and goes on with each document's most toxic window; a logistic fit, on every fifth
-sample row that training left out, maps that window's logit to the score. As the model is linear, scoring needs one number per n-gram, and each distinct word of a
+sample row that training left out, maps that window's logit and the number of windows to the score. As the model is linear, scoring needs one number per n-gram, and each distinct word of a
 chunk is scored once.
 
 Fitting takes a bounded sample: up to TRAIN_ROWS labelled rows, by hash and half of each label where there are as many, of texts
@@ -29,7 +29,7 @@ from .common import hash_share, segment_sums, ship, table, text_chunks
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 12_000
 WINDOW, DIM, BITS = 2, 4, 18
-LEAST, MOST, LEAST_SEEN = 4, 6, 3
+LEAST, MOST, LEAST_SEEN = 3, 6, 3
 #: One sample row in so many is kept from training and fits the score instead.
 CHECKED = 5
 
@@ -49,24 +49,25 @@ def windows(counts: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """What scoring needs: a logit for each n-gram bucket, the bias, and the logistic fit of the top window."""
+    """What scoring needs: a logit for each n-gram bucket, the bias, and the logistic fit of a text's features."""
 
     gram: np.ndarray
     bias: float
-    scale: float
+    slopes: np.ndarray
     shift: float
 
-    def logits(self, texts: pa.Array) -> np.ndarray:
-        """The logit of each text's most toxic window."""
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """The logit of each text's most toxic window, and the logarithm of its number of windows."""
         distinct, index, counts = words.split(texts)
         buckets, grams = words.ngrams(distinct, LEAST, MOST, BITS)
         of_word = segment_sums(self.gram[buckets], grams) / np.maximum(1, grams)
         sizes, divisor, each = windows(counts)
         logit = segment_sums(of_word[index], sizes) / divisor + self.bias
-        return np.maximum.reduceat(logit, np.cumsum(each) - each) if len(each) else logit
+        best = np.maximum.reduceat(logit, np.cumsum(each) - each) if len(each) else logit
+        return np.stack((best, np.log(each)), axis=1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return _sigmoid(self.scale * self.logits(texts) + self.shift)
+        return _sigmoid(self.features(texts) @ self.slopes + self.shift)
 
 
 def _sigmoid(x):
@@ -120,7 +121,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, rounds: int = 6, r
     share = float(labels.mean()) if len(labels) else 0.0
     if len(labels) == 0 or share in (0.0, 1.0):
         p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros(2), float(np.log(p / (1 - p))))
     distinct, index, counts = words.split(texts)
     net = _Net(*words.ngrams(distinct, LEAST, MOST, BITS), np.bincount(index, minlength=len(distinct)))
     checked = np.arange(len(labels)) % CHECKED == 0
@@ -143,20 +144,26 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, rounds: int = 6, r
         at = np.repeat(starts[chosen] - (np.cumsum(sizes[chosen]) - sizes[chosen]), sizes[chosen]) + np.arange(int(sizes[chosen].sum()))
         for _ in range(round_epochs):
             net.epoch(index[at], sizes[chosen], divisor[chosen], labels, rate / 2, ~checked)
-    best, _ = top()
+    x = np.stack((top()[0], np.log(each)), axis=1)
     if checked.any():
-        best, labels = best[checked], labels[checked]
-        share = float(labels.mean())
+        x, labels = x[checked], labels[checked]
     gram, bias = net.gram_logits()
-    mean, spread = float(best.mean()), float(best.std()) or 1.0
-    x, a, c = (best - mean) / spread, 1.0, float(np.log(share / (1 - share)))
-    for _ in range(60):  # Newton steps of a logistic fit, held back a little
-        p = _sigmoid(a * x + c)
-        w = p * (1 - p) + 1e-6
-        grad = np.array([np.sum((p - labels) * x) + 0.05 * a, np.sum(p - labels)])
-        hess = np.array([[np.sum(w * x * x) + 0.05, np.sum(w * x)], [np.sum(w * x), np.sum(w)]])
-        a, c = np.array([a, c]) - np.clip(np.linalg.solve(hess, grad), -1, 1)
-    return Model(gram.astype(np.float32), bias, float(a / spread), float(c - a * mean / spread))
+    slopes, shift = _logistic(x, labels)
+    return Model(gram.astype(np.float32), bias, slopes, shift)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, held_back: float = 0.05) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic fit by Newton steps; long texts have more windows for chance to pick from."""
+    mean, spread = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    z = np.concatenate(((x - mean) / spread, np.ones((len(x), 1))), axis=1)
+    share = float(y.mean())
+    w, back = np.array([1.0, 0.0, np.log(share / (1 - share))]), np.array([held_back, held_back, 0.0])
+    for _ in range(60):
+        p = _sigmoid(z @ w)
+        hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(back)
+        w -= np.clip(np.linalg.solve(hess, z.T @ (p - y) + back * w), -1, 1)
+    slopes = w[:2] / spread
+    return slopes, float(w[2] - slopes @ mean)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
