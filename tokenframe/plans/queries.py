@@ -16,7 +16,7 @@ from ..operators import chat, specials
 from ..operators.batches import pack_batches
 from ..operators.decode import decode, decode_bytes
 from ..operators.encode import batch_offsets, encode, encode_bytes, encode_deduplicated, explain_pretokens, tokens_flat
-from ..session import ship
+from ..session import read_parquet, ship
 from ..sources.files import with_packed_ids
 from ..sources.vocabulary import Vocabulary, load, variant
 from . import oracle
@@ -60,7 +60,7 @@ def toy_pieces() -> Vocabulary:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes a core up to which a table of few files is spread.
+SMALL = 32 << 20
 _ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -16,3 +18,12 @@ def ship(spark: SparkSession) -> SparkSession:
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
     return spark
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over all cores where it is small and has fewer files than they: one row group is one task."""
+    df = ship(spark).read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if held.getFileCount() < cores and held.getLength() < cores * SMALL else df
