@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
 CHUNK_BYTES = 4 << 20
+#: Bytes a core up to which a table of few files is spread.
+SMALL = 32 << 20
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _own_dir: list[str] = []
@@ -60,7 +62,13 @@ def drop_written(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over all cores where it is small and has fewer files than they: one row group is one task."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = ship(spark).read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if held.getFileCount() < cores and held.getLength() < cores * SMALL else df
 
 
 def text_chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES):
