@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,9 @@ def written_page(r: random.Random) -> str:
     return f'<!DOCTYPE html><html><head><title>{_words(r, 1, 5)}</title></head><body data-y="1">' + "".join(head) + body + "".join(tail) + "</body></html>"
 
 
+@lru_cache(maxsize=1)
 def fit(pages: int = PAGES, seed: int = 5) -> Forest:
+    """The trees; they depend on no table, so a session fits them once."""
     r = random.Random(seed)
     read = [Page(written_page(r)) for _ in range(pages)]
     return boost(np.concatenate([p.features()[1:] for p in read]), np.concatenate([p.label[1:] for p in read]).astype(np.float64))
