@@ -15,6 +15,7 @@ row. Columns other than doc_id and text are ignored. No rows give no rows.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -48,12 +49,17 @@ def token_ids(vocabulary: str):
     The vocabulary's rank file, where it lies beside the JSON file, serves texts of characters up to U+024F,
     whose classes are the same in both libraries; other texts go to the tokenizers library itself.
     """
-    from tokenizers import Tokenizer
+    library: list = []
+
+    def slow(text: str) -> np.ndarray:
+        if not library:  # loaded by the first text that needs it
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_file(vocabulary))
+            library[0].no_truncation()
+            library[0].no_padding()
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
-    tok = Tokenizer.from_file(vocabulary)
-    tok.no_truncation()
-    tok.no_padding()
-    slow = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
     ranks = os.path.splitext(vocabulary)[0] + ".tiktoken"
     if not os.path.exists(ranks):
         return slow
@@ -62,7 +68,8 @@ def token_ids(vocabulary: str):
 
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {x.content: i for i, x in tok.get_added_tokens_decoder().items()}
+    with open(vocabulary, encoding="utf-8") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
     wide = re.compile("[^\\x00-\\u024f]").search
     return lambda text: slow(text) if wide(text) else fast.encode_to_numpy(text, allowed_special="all")
