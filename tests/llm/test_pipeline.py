@@ -59,3 +59,11 @@ def test_one_of_each_group_stays(spark, tmp_path):
     rows = odd_documents()
     groups = set(zip(components_by_hand([r[0] for r in rows], [fingerprint_by_hand(r[1]) for r in rows])))
     assert len(out) == len(groups)
+
+
+def test_null_and_repeated_ids_lose_no_group(spark, tmp_path):
+    texts = ["an apple a day keeps the doctor away", "rain falls mainly on the plain in spain", None, "many hands make light work of it"]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0])] + [(5, texts[3]), (5, "all that glitters is not gold at all"), (5, texts[3]), (3, "all that glitters is not gold at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [*rows[:3], rows[4], rows[7]]))

@@ -54,13 +54,14 @@ def _fingerprints(batches):
     for batch in batches:
         raw = b"".join(fingerprint(x) for x in batch.column(1).to_pylist())
         fps = np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps)], ["doc_id", *batch.schema.names[2:], "fp"])
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row."""
+def with_fingerprints(docs: DataFrame, *keep) -> DataFrame:
+    """(doc_id, the kept long columns, fp long) for every row."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    inputs = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    return inputs.mapInArrow(_fingerprints, inputs.drop("text").schema.add("fp", "long"))
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
@@ -208,8 +209,8 @@ def stars(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) for a written table of (doc_id, fp)."""
+def rooted(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(fp, rep, root), written: every distinct fingerprint, its smallest doc_id and its component's smallest fingerprint."""
     spark = fps.sparkSession
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     n = distinct.count()
@@ -231,10 +232,15 @@ def components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     root = stars(edges)
     named = distinct.join(root.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.join(lowest, "root").select("fp", "component_id")
     drop_written(distinct)
-    return fps.join(of, "fp")
+    return named
+
+
+def components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, fp, component_id) for a written table of (doc_id, fp)."""
+    named = rooted(fps, radius, shard_rows)
+    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return fps.join(named.join(lowest, "root").select("fp", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,12 +254,18 @@ def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that carry their component's id; of repeated ids one row stays."""
+    """Pipeline stage: one document of every component, that of the smallest doc_id (a null one only where there is no other).
+
+    A row is known by its doc_id and 128 bits of hashes of its text, so null and repeated ids lose no component.
+    """
     ship(spark)
-    fps = written(with_fingerprints(docs), "fingerprints")
-    kept = components(fps).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept, "kept").withColumnRenamed("doc_id", "kept_id")
-    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    key = {"__id": F.col("doc_id").cast("long"), "__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(SEED), "text")}
+    fps = written(with_fingerprints(docs, *(key[k].alias(k) for k in ("__h1", "__h2"))), "fingerprints")
+    same = fps.groupBy("fp", "doc_id", "__h1", "__h2").agg(F.count("*").alias("n"))
+    first = same.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), "n")).alias("row"))
+    kept = written(first.join(rooted(fps), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "kept")
+    out = docs.withColumns(key)
+    out = out.join(kept.hint("shuffle_hash"), out["__id"].eqNullSafe(kept["id"]) & (out["__h1"] == kept["h1"]) & (out["__h2"] == kept["h2"]), "left_semi")
     if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+        out = out.dropDuplicates(list(key))
+    return out.drop(*key)
