@@ -492,6 +492,18 @@ def test_three_close_languages():
     assert np.mean(lang == np.array(langs, object)) > 0.97 and (score >= 0.5).all()
 
 
+def test_unlearned_languages_and_gibberish_are_unsure():
+    r = random.Random(9)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(60))
+    kinds = {"fr": "abcdeé", "es": "abcdeñ", "en": "wxyzth"}
+    for known in (["fr", "es", "en"], ["fr", "es"], ["fr", "en"], ["fr"]):
+        langs = [k for k in known for _ in range(40)]
+        model = langid.fit(pa.array([text(kinds[k]) for k in langs]), langs)
+        lang, score = model.predict(pa.array([text(kinds[k]) for k in langs]))
+        assert np.mean(lang == np.array(langs, object)) > 0.97 and np.mean(score >= langid.LEAST_SCORE) > 0.98
+        assert (model.predict(pa.array([text("абвгде"), text("mnopqr"), text("jklm")]))[1] < langid.LEAST_SCORE).all()
+
+
 # 10
 
 

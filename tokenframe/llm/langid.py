@@ -9,9 +9,13 @@ distinct word of a chunk is scored once.
 Fitting takes a bounded sample: per language up to TRAIN_ROWS rows by hash, of the LANGUAGES commonest languages, texts of
 up to TRAIN_CHARS characters; prediction reads whole texts. Texts that are null or have no letter get `und`
 and score 0. Rows with a null lang or doc_id teach nothing; with no learned language every text gets `und`
-and score 0, with a single one that language and score 1. Repeated rows keep a row each. Columns other than
-doc_id and text are never read for a prediction. The score is the least chance, by a logistic function of
-the margins, among the decisions taken.
+and score 0. Repeated rows keep a row each. Columns other than doc_id and text are never read for a prediction.
+
+The score is the least chance, by a logistic function of the margins, among the decisions taken. It is below
+0.5 where votes go in a circle, and where a text isn't like its language: its mean log frequency of n-grams
+under that language's is compared with what sample texts had that the frequencies were not taken from, in
+deviations for its number of words. So texts of unlearned languages and gibberish are unsure; a language of
+fewer than JUDGED sample texts isn't judged.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ LEAST, MOST, BITS = 1, 3, 13
 UNKNOWN = "und"
 #: A predicted document stays in the pipeline from this score on.
 LEAST_SCORE = 0.5
+#: Sample texts from which on a language's likeness is judged; deviations that are allowed; frequency of an unseen n-gram.
+JUDGED, DEVIATIONS, UNSEEN = 20, 6.0, 1e-5
 _FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb yi", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be pl cs sk bg sr hr bs sl mk", "baltic": "lt lv",
     "uralic": "fi et hu", "turkic": "tr az kk uz ky tk", "indic": "hi bn mr gu pa ne ur si", "semitic": "ar he mt am", "dravidian": "ta te kn ml", "celtic": "ga cy gd br",
@@ -66,14 +72,36 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 25
     return w
 
 
+def _likeness(x: np.ndarray, rows: np.ndarray, counts: np.ndarray, word_rows: np.ndarray, of_words: np.ndarray, buckets: np.ndarray, grams: np.ndarray):
+    """(log frequency of every n-gram, (mean, variance of texts, of words)) of the language of `rows`; the variances from five folds."""
+    logs = lambda some: np.log(x[some].mean(axis=0, dtype=np.float64) + UNSEEN)
+    if len(rows) < JUDGED:
+        return logs(rows), (0.0, np.inf, 0.0)
+    held, words_held = np.zeros(len(rows)), []
+    for part in range(5):
+        out = np.arange(len(rows)) % 5 == part
+        w = logs(rows[~out])
+        of_word = segment_sums(w[buckets], grams) / np.maximum(1, grams)
+        held[out] = x[rows[out]] @ w
+        words_held.append(of_word[of_words[np.isin(word_rows, rows[out])]])
+    within = float(np.concatenate(words_held).var())
+    mean = float(np.median(held))
+    between = max(1e-4, float(np.mean((held - mean) ** 2 - within / counts[rows])))
+    return logs(rows), (mean, between, within)
+
+
 @dataclass
 class Model:
-    """Languages by family and one weight column per machine; the last row holds the biases."""
+    """Languages by family and one weight column per machine, then one of likeness per language; the last row holds the biases.
+
+    likeness: per language, in the order of members, the mean, the variances of texts and of words.
+    """
 
     families: list[str]
     members: list[list[str]]
     pairs: list[list[tuple[int, int, int]]]
     weights: np.ndarray
+    likeness: np.ndarray
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(language, score) of each text."""
@@ -97,6 +125,7 @@ class Model:
             gap = margins[rows, order[:, 0]] - margins[rows, order[:, 1]]
         else:
             best, gap = np.zeros(n, np.int64), np.full(n, np.inf)
+        first = self.weights.shape[1] - len(self.likeness)
         for f, names in enumerate(self.members):
             rows = np.flatnonzero(some & (best == f))
             votes, sure = np.zeros((len(rows), len(names))), np.zeros((len(rows), len(names)))
@@ -111,8 +140,11 @@ class Model:
                 least[:, b] = np.minimum(least[:, b], -m)
             won = np.lexsort((-sure, -votes), axis=1)[:, 0] if len(names) > 1 else np.zeros(len(rows), np.int64)
             lang[rows] = np.array(names, object)[won]
-            margin = np.minimum(gap[rows], 2 * np.maximum(0, least[np.arange(len(rows)), won]))
-            score[rows] = 1 / (1 + np.exp(-2 * np.clip(margin, 0, 15)))
+            at = sum(map(len, self.members[:f])) + won
+            mean, between, within = self.likeness[at].T
+            like = (margins[rows, first + at] - mean) / np.sqrt(between + within / counts[rows]) + DEVIATIONS
+            margin = np.minimum(np.minimum(gap[rows], 2 * least[np.arange(len(rows)), won]), like)
+            score[rows] = 1 / (1 + np.exp(-2 * np.clip(margin, -15, 15)))
         return lang, score
 
 
@@ -124,8 +156,8 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
     names = sorted(set(langs))
     families = sorted({family_of(x) for x in names})
     members = [[x for x in names if family_of(x) == f] for f in families]
-    if len(names) < 2:
-        return Model(families, members, [[] for _ in families], np.zeros(((1 << BITS) + 1, 0), np.float32))
+    if not names:
+        return Model(families, members, [], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros((0, 3)))
     buckets, grams = words.ngrams(distinct, LEAST, MOST, BITS)
     starts, word_starts = np.cumsum(grams) - grams, np.cumsum(counts) - counts
     x = np.zeros((len(kept), 1 << BITS), np.float32)
@@ -134,9 +166,12 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
         g = grams[ws]
         at = np.repeat(starts[ws] - (np.cumsum(g) - g), g) + np.arange(int(g.sum()))
         x[row] = np.bincount(buckets[at], weights=np.repeat(times / g, g), minlength=1 << BITS) / counts[i]
+    of = np.array(langs, object)
+    word_rows = np.repeat(np.arange(len(kept)), counts[kept])
+    of_words = np.concatenate([index[word_starts[i] : word_starts[i] + counts[i]] for i in kept.tolist()])
+    likes = [_likeness(x, np.flatnonzero(of == name), counts[kept], word_rows, of_words, buckets, grams) for own in members for name in own]
     scale = np.float32(1 / max(1e-9, float(np.sqrt(np.einsum("ij,ij->i", x, x).mean()))))
     x *= scale
-    of = np.array(langs, object)
     fam = np.array([family_of(v) for v in langs], object)
     columns, pairs = [], []
     if len(families) > 1:
@@ -149,9 +184,10 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
             mine.append((a, b, len(columns)))
             columns.append(linear_svm(x[rows], np.where(of[rows] == own[a], 1, -1)))
         pairs.append(mine)
-    weights = np.stack(columns, axis=1)
+    weights = np.stack(columns, axis=1) if columns else np.zeros(((1 << BITS) + 1, 0))
     weights[:-1] *= scale
-    return Model(families, members, pairs, weights.astype(np.float32))
+    weights = np.concatenate((weights, np.stack([np.append(w, 0) for w, _ in likes], axis=1)), axis=1)
+    return Model(families, members, pairs, weights.astype(np.float32), np.array([m for _, m in likes]))
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> Model:
