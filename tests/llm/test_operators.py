@@ -492,6 +492,14 @@ def test_three_close_languages():
     assert np.mean(lang == np.array(langs, object)) > 0.97 and (score >= 0.5).all()
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    docs = [(10 * i + k, f"w{i}a w{i}b", f"l{i:02d}") for i in range(70) for k in range(6)] + [(1000 + k, "long " * 5000, "xx") for k in range(6)]
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: list(zip(texts.to_pylist(), langs)))
+    learned = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in learned} == {d[2] for d in docs}
+    assert max(len(text) for text, _ in learned) == langid.TRAIN_CHARS
+
+
 def test_unlearned_languages_and_gibberish_are_unsure():
     r = random.Random(9)
     text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(60))

@@ -113,4 +113,14 @@ def hash_share(key, wanted: int, there: int):
     """
     if there <= 4 * wanted:
         return F.lit(True)
-    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 40)) < int(4 * wanted / there * (1 << 40))
+    return share_hash(key) < share_bound(wanted, there)
+
+
+def share_hash(key):
+    """The hash of `key` that hash_share compares, from 0 to 2**40 - 1."""
+    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 40))
+
+
+def share_bound(wanted: int, there: int) -> int:
+    """The bound below which a row of hash_share's share has its hash."""
+    return 1 << 40 if there <= 4 * wanted else int(4 * wanted / there * (1 << 40))

@@ -6,8 +6,9 @@ of languages votes. All are trained in numpy by dual coordinate descent. The fam
 a table of language codes; a language outside it is a family of its own. As all machines are linear, each
 distinct word of a chunk is scored once.
 
-Fitting takes a bounded sample: per language up to TRAIN_ROWS rows by hash, of the LANGUAGES commonest languages, texts of
-up to TRAIN_CHARS characters; prediction reads whole texts. Texts that are null or have no letter get `und`
+Fitting takes a sample of every language, bounded per language: up to TRAIN_ROWS rows by hash (fewer from nine
+languages on, one at least), texts of up to TRAIN_CHARS characters, or the beginnings of longer texts where a
+language has no others; prediction reads whole texts. Texts that are null or have no letter get `und`
 and score 0. Rows with a null lang or doc_id teach nothing; with no learned language every text gets `und`
 and score 0. Repeated rows keep a row each. Columns other than doc_id and text are never read for a prediction.
 
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import hash_share, segment_sums, ship, table, text_chunks
+from .common import segment_sums, share_bound, share_hash, ship, table, text_chunks
 from .toxicity import fold
 
-TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 400, 20_000, 64
+TRAIN_ROWS, TRAIN_CHARS = 400, 20_000
 LEAST, MOST, BITS = 1, 3, 13
 UNKNOWN = "und"
 #: A predicted document stays in the pipeline from this score on.
@@ -190,19 +191,19 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
     return Model(families, members, pairs, weights.astype(np.float32), np.array([m for _, m in likes]))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> Model:
-    """Fit on a bounded sample of the documents outside the held-out fold."""
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """Fit on a bounded sample of the documents outside the held-out fold, of every language that they have."""
+    spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    usable = docs.select(doc_id, "lang", "text").where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & (F.length("text") <= chars))
-    there = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    common = list(there)
-    each = min(rows, max(1, 8 * rows // max(1, len(common))))
-    share = F.lit(False)
-    for lang, n in there.items():
-        share = F.when(F.col("lang") == lang, hash_share(F.col("doc_id"), each, n)).otherwise(share)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.where(share).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang").distinct()  # at most `each` ids a language
-    sample = usable.join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("doc_id", "lang", "text").limit(each * len(common)).select("text", "lang").toArrow()
+    usable = docs.select(doc_id, "lang", "text").where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.length("text") <= chars
+    there = {r["lang"]: (r["short"], r["n"]) for r in usable.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("n")).collect()}
+    each = min(rows, max(1, 8 * rows // max(1, len(there))))
+    bounds = spark.createDataFrame([(lang, share_bound(each, few or n), not few) for lang, (few, n) in there.items()], "lang string, bound long, cut boolean")
+    usable = usable.join(F.broadcast(bounds), "lang").where(F.col("cut") | short).withColumn("text", F.when(F.col("cut"), F.substring("text", 1, chars)).otherwise(F.col("text")))
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang").orderBy(*by))
+    ids = usable.where(share_hash(F.col("doc_id")) < F.col("bound")).select("doc_id", "lang").withColumn("n", first(F.xxhash64("doc_id"), "doc_id")).where(F.col("n") <= each).select("doc_id", "lang").distinct()  # at most `each` ids a language
+    sample = usable.join(F.broadcast(ids), ["doc_id", "lang"]).withColumn("n", first("doc_id", "text")).where(F.col("n") <= each).orderBy("doc_id", "lang", "text").select("text", "lang").toArrow()
     return fit(sample.column("text").combine_chunks().cast(pa.string()), sample.column("lang").to_pylist())
 
 
