@@ -291,3 +291,117 @@ def test_streams(spark, tmp_path):
     query = token_counts(timed, vocabulary(), "at", "1 minute", "10 minutes").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("counts").agg(F.sum("tokens")).first()[0] == sum(map(len, want.values()))
+
+
+def test_offsets_of_odd_keys(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (None, [3]), (5, [4]), (5, []), (10**15, None), (None, [6, 7])], "doc_id long, ids array<int>")
+    for block in (1, 2, 100):
+        assert [r[1] for r in batch_offsets(df, per_block=block).orderBy("doc_pos").collect()] == [0, 1, 3, 5, 5, 6, 6]
+
+
+def test_spans_of_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "ab cd"), (1, "ef gh"), (None, "é x"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = sorted(map(repr, (tuple(r) for r in explain_pretokens(df, vocabulary()).select("doc_id", "pos", "byte_start", "byte_len").collect())))
+    assert rows == sorted(map(repr, [(1, 0, 0, 2), (1, 1, 2, 3), (1, 0, 0, 2), (1, 1, 2, 3), (None, 0, 0, 2), (None, 1, 2, 2)]))
+
+
+def test_hot_and_repeated_keys_are_deduplicated_alike(spark, monkeypatch):
+    from tokenframe.functions import skew
+    from tokenframe.operators import encode as module
+
+    texts = ["the the the the"] * 9 + [None, "", "a b"]
+    df = spark.createDataFrame([(i % 3 or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(module, "spread_join", lambda *a: skew.spread_join(*a, per=4))
+    want = sorted(map(repr, (tuple(r) for r in encode(df, vocabulary()).select("doc_id", "ids").collect())))
+    assert sorted(map(repr, (tuple(r) for r in encode_deduplicated(df, vocabulary()).collect()))) == want
+
+
+def test_the_engine_is_chosen_only_with_proof():
+    from tokenframe.operators import library
+
+    assert library.why_not(vocabulary()) is None and library.why_not(vocabulary(Family.QWEN25, LITERALS[Family.QWEN25])) is None
+    assert library.why_not(toy_pieces()) and library.why_not(vocabulary(Family.DEEPSEEK_V3))
+    unreached = json.loads(json.dumps(SPEC))
+    unreached["model"]["vocab"]["zqzq"] = 60000
+    assert library.why_not(load(variant(unreached, Family.LLAMA3)))
+    swapped = json.loads(json.dumps(SPEC))
+    swapped["model"]["merges"][5], swapped["model"]["merges"][6] = swapped["model"]["merges"][6], swapped["model"]["merges"][5]
+    assert library.why_not(load(swapped))
+    nested = variant(SPEC, Family.LLAMA3, ("<|x", "<|x|>"))
+    assert library.why_not(load(nested))
+    engine, own = library.Engine(vocabulary()), Merger(vocabulary())
+    for text in SEAMS + fuzz([END], 300, 11):
+        if all(c <= "ž" for c in text) and END not in text:
+            assert engine.ids(text).tolist() == [i for p in cut(Family.GPT2, text) for i in own.piece(p)]
+
+
+def test_vocabularies_are_described_and_told_apart(spark):
+    info = vocabulary().info_df(spark).first()
+    assert (info["family"], info["size"], info["engine"], info["engine_note"]) == ("gpt2", 50257, "tiktoken", None)
+    assert toy_pieces().describe()["engine"] == "own"
+    assert len({vocabulary().digest, vocabulary(Family.LLAMA3).digest, vocabulary(Family.GPT2, ("<x>",)).digest}) == 3 and load(SPEC).digest == vocabulary().digest
+
+
+def test_barriers_of_normalization():
+    from tokenizers.normalizers import NFC
+    from tokenframe.functions.normalize import nfc_between
+
+    upstream = NFC()
+    for c in map(chr, (0x897, 0x1ACF, 0x1AEB, 0x105D2, 0x10D69, 0x113CE, 0x1611F, 0x1E6F5, 0x301, 0x1161)):
+        for text in (f"é{c}́", f"e{c}́", f"ᄀ{c}ᅡᆨ", f"ȩ{c}̧́"):
+            assert nfc_between(text, None) == upstream.normalize_str(text)
+
+
+@pytest.mark.parametrize("merge,literal", [(["\n", "a"], None), (["a", "▁the"], None), (None, "<\n>"), (None, "x▁y")])
+def test_piece_vocabularies_keep_runs_apart(merge, literal):
+    from tokenframe.sources.vocabulary import _check_runs
+
+    _check_runs({"merges": [["▁", "the"], [">", "▁</"], ["\n", "\n"]]}, ["\n\n", "<x>"])
+    with pytest.raises(VocabularyError):
+        _check_runs({"merges": [merge] if merge else []}, [literal] if literal else [])
+
+
+def test_command_line_and_metrics(spark, tmp_path, capsys):
+    from tokenframe.__main__ import main
+
+    (tmp_path / "a.txt").write_text("hello world")
+    (tmp_path / "b.txt").write_text("a b c")
+    ids = [Tokenizer.from_file(BYTE).encode(t).ids for t in ("hello world", "a b c")]
+    paths = f"{tmp_path}/a.txt,{tmp_path}/b.txt"
+    assert main(["encode", "--vocab", BYTE, "--inputs", paths, "--add-eos"]) == 0
+    assert capsys.readouterr().out.split("\n")[:2] == [" ".join(map(str, [*i, 50256])) for i in ids]
+    assert main(["encode", "--vocab", BYTE, "--inputs", paths, "--out", str(tmp_path / "out")]) == 0
+    assert [r["ids"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("doc_pos").collect()] == ids
+    (tmp_path / "x.ids").write_bytes(b"".join(i.to_bytes(4, "little") for i in ids[0]))
+    capsys.readouterr()
+    main(["decode", "--vocab", BYTE, "--inputs", str(tmp_path / "x.ids")])
+    assert capsys.readouterr().out == "hello world\n"
+    (tmp_path / "list").write_text(f"{tmp_path}/a.txt\r\n\n{tmp_path}/b.txt\n")
+    main(["bench", "--vocab", BYTE, "--input-list", str(tmp_path / "list"), "--runs", "3"])
+    lines = capsys.readouterr().out.split("\n")
+    assert lines[0].startswith("run,input_index,path,n_bytes,n_tokens,n_pretokens") and [x.split(",")[1] for x in lines[1:4]] == ["1", "0", "1"]
+    main(["info", "--vocab", BYTE])
+    assert json.loads(capsys.readouterr().out)["engine"] == "tiktoken"
+    with pytest.raises(SystemExit):
+        main(["encode", "--vocab", BYTE])
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tokenframe import session
+
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    class Context:
+        getConf = staticmethod(Conf)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="shared|share"):
+        session.shared_dir(Session())
+    assert session.shared_dir(spark)
+    own = session.written(spark.range(3), "x")
+    assert own.count() == 3
+    session.drop_written(own)

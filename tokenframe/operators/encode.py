@@ -1,14 +1,16 @@
 """Encoding DataFrames of texts, in two physical plans.
 
-The row-local plan cuts texts in the JVM and merges each Arrow batch's distinct pre-tokens in Python; it has
-no shuffle, and streams. The deduplicating plan merges each distinct pre-token of the whole input once, at
-the price of three shuffles; it pays only where merging is far dearer than shuffling all pre-tokens.
+The row-local plan has no shuffle, and streams. Plain texts of a vocabulary that the upstream encoder provably
+serves go to it whole (operators.library); others are cut in the JVM, and each Arrow batch's distinct pre-tokens
+are merged in Python. The deduplicating plan merges each distinct pre-token of the whole input once, at the price
+of three shuffles; it pays only where merging is far dearer than shuffling all pre-tokens.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.normalize import nfc
 from ..functions.patterns import PASSES, Family, _python
 from ..functions.pretokens import pretokens
-from ..session import ship
+from ..functions.skew import spread_join
+from ..session import drop_written, ship, written
 from ..sources.vocabulary import Vocabulary, literal_pattern
+from . import library
 from .merge import Merger, Sent, low_bar, merger
 
 
@@ -52,31 +56,77 @@ def merged(vocab: Vocabulary, pieces: Column, spark) -> Column:
     return merge(pieces)
 
 
+_engines: dict[str, library.Engine] = {}
+
+
+def ids_of(vocab: Vocabulary, text: Column, spark) -> Column:
+    """Texts to arrays of ids."""
+    if not library.usable(vocab):
+        return merged(vocab, pretokens_of(vocab, text), spark)
+    sent, plain = Sent(ship(spark), vocab), library.takes(text)
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array, pieces: pa.Array) -> pa.Array:
+        if sent.id not in _engines:
+            _engines.clear()
+            _engines[sent.id] = library.Engine(sent.vocab.value)
+        none, engine = np.zeros(0, np.int32), _engines[sent.id]
+        rows = [none if t is None else engine.ids(t) for t in texts.to_pylist()]
+        if pieces.null_count < len(pieces):
+            lists = merger(sent).lists(pieces)
+            ends, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+            for i in np.flatnonzero(np.asarray(pieces.is_valid())).tolist():
+                rows[i] = flat[ends[i] : ends[i + 1]]
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+        mask = pa.array(np.asarray(texts.is_null()) & np.asarray(pieces.is_null()))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *rows])), mask=mask)
+
+    return run(F.when(plain, text), pretokens_of(vocab, F.when(~plain, text)))
+
+
 def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the ids of `text`: no shuffle, any number of rows, batch or stream. Null gives null."""
-    return df.withColumn(out, merged(vocab, pretokens_of(vocab, F.col(text)), df.sparkSession))
+    """Adds the ids of `text`: no shuffle, any number of rows, batch or stream. Null gives null.
+
+    Sentence-piece vocabularies are encoded row by row like all others; there is no reason to refuse many rows.
+    """
+    return df.withColumn(out, ids_of(vocab, F.col(text), df.sparkSession))
 
 
 def encode_deduplicated(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids) by merging each distinct pre-token once; keys must be unique. Null texts give null."""
-    pieces = df.select(key, F.posexplode_outer(pretokens_of(vocab, F.col(text))).alias("pos", "piece"))
-    distinct = pieces.where("piece IS NOT NULL").groupBy("piece").agg(F.first(F.lit(1)).alias("one"))
-    ids = distinct.select("piece", F.get(F.array(merged(vocab, F.array("piece"), df.sparkSession)), 0).alias("piece_ids"))
-    joined = pieces.join(ids, "piece", "left")
+    """(key, ids) by merging each distinct pre-token once; keys may be null and repeat. Null texts give null.
+
+    Common pre-tokens are joined in copies, so none of them is a hot key.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), key, F.col(text).isNull().alias("__null"), pretokens_of(vocab, F.col(text)).alias("__pieces"))
+    pieces = rows.select("__row", key, "__null", F.posexplode_outer("__pieces").alias("pos", "piece"))
+    distinct = pieces.where("piece IS NOT NULL").groupBy("piece").agg(F.count("*").alias("__n"))
+    ids = distinct.select("piece", "__n", F.get(F.array(merged(vocab, F.array("piece"), df.sparkSession)), 0).alias("piece_ids"))
+    joined = spread_join(pieces, ids, "piece", "__n")
     ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece_ids"))))
-    whole = joined.groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["piece_ids"])).alias("ids"))
-    nulls = df.select(key, F.col(text).isNull().alias("__null"))
-    return whole.join(nulls, key).select(key, F.when(~F.col("__null"), F.col("ids")).alias("ids"))
+    whole = joined.groupBy("__row", key, "__null").agg(F.flatten(F.transform(ordered, lambda x: x["piece_ids"])).alias("ids"))
+    return whole.select(key, F.when(~F.col("__null"), F.col("ids")).alias("ids"))
 
 
 def explain_pretokens(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, piece, byte_start, byte_len, is_added): every pre-token with its span in the normalized text."""
-    pieces = pretokens_of(vocab, F.col(text))
-    sizes = lambda xs: F.transform(xs, lambda p: F.octet_length(p))
-    rows = df.select(key, pieces.alias("__pieces")).select(key, "__pieces", sizes(F.col("__pieces")).alias("__sizes"))
-    window = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flat = rows.select(key, F.posexplode(F.arrays_zip("__pieces", "__sizes")).alias("pos", "x")).select(key, "pos", F.col("x.__pieces").alias("piece"), F.col("x.__sizes").cast("long").alias("byte_len"))
-    return flat.withColumn("byte_start", F.sum("byte_len").over(window) - F.col("byte_len")).withColumn("is_added", F.col("piece").isin(sorted(vocab.added)))
+    """(key, pos, piece, byte_start, byte_len, is_added): every pre-token with its span in the normalized text.
+
+    Starts are summed row by row, without a shuffle; repeated and null keys keep their rows apart.
+    """
+    ship(df.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def starts(sizes: pa.Array) -> pa.Array:
+        flat = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(flat) - flat
+        lengths = np.asarray(sizes.value_lengths().fill_null(0)).astype(np.int64)
+        first = np.concatenate((before, [0]))[np.minimum(np.cumsum(lengths) - lengths, len(before))]
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(before - np.repeat(first, lengths)))
+
+    rows = df.select(key, pretokens_of(vocab, F.col(text)).alias("__pieces"))
+    rows = rows.withColumn("__starts", starts(F.transform("__pieces", lambda p: F.octet_length(p))))
+    flat = rows.select(key, F.posexplode(F.arrays_zip("__pieces", "__starts")).alias("pos", "x"))
+    return flat.select(key, "pos", F.col("x.__pieces").alias("piece"), F.octet_length("x.__pieces").cast("long").alias("byte_len"), F.col("x.__starts").alias("byte_start"), F.col("x.__pieces").isin(sorted(vocab.added)).alias("is_added"))
 
 
 def tokens_flat(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -85,21 +135,22 @@ def tokens_flat(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> Da
 
 
 def batch_offsets(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", per_block: int = 65_536) -> DataFrame:
-    """(doc_pos, offset): running token counts in key order, n + 1 rows beginning with 0.
+    """(doc_pos, offset): running token counts in key order (nulls first), n + 1 rows beginning with 0.
 
-    Offsets are summed in ranges of the key: counts per range first, then running sums within each range, so
-    no task holds all documents.
+    Sizes are written once, in sampled ranges of the key; sums before each range, one row a range, are added to
+    running sums within it. Rows that share a key may be in several ranges, so no task holds all documents.
     """
-    sizes = encoded.select(F.col(key).alias("k"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n"))
-    bounds = sizes.agg(F.count("*").alias("rows"), F.min("k").alias("low"), F.max("k").alias("high")).first()
-    blocks = max(1, -(-bounds["rows"] // per_block))
-    width = max(1, -(-((bounds["high"] or 0) - (bounds["low"] or 0) + 1) // blocks))
-    placed = sizes.withColumn("block", F.floor((F.col("k") - F.lit(bounds["low"] or 0)) / width))
+    sizes = written(encoded.select(F.col(key).alias("k"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n")), "sizes")
+    blocks = max(1, -(-sizes.count() // per_block))
+    order = (F.asc_nulls_first("k"), "n", "row")
+    ranged = sizes.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    placed = written(ranged.select(F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("at"), "n"), "ranges")
+    drop_written(sizes)
     totals = placed.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block of keys
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = totals.select("block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row0"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("token0"))
-    order = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = placed.join(starts, "block").select((F.col("row0") + F.count("*").over(order)).alias("doc_pos"), (F.col("token0") + F.sum("n").over(order)).alias("offset"))
+    within = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = placed.join(starts, "block").select((F.col("row0") + F.count("*").over(within)).alias("doc_pos"), (F.col("token0") + F.sum("n").over(within)).alias("offset"))
     zero = encoded.sparkSession.range(1).select(F.lit(0).cast("long").alias("doc_pos"), F.lit(0).cast("long").alias("offset"))
     return zero.unionByName(ends)
 
@@ -143,7 +194,9 @@ def encode_bytes(df: DataFrame, vocab: Vocabulary, raw: str = "bytes", out: str
         own = merger(sent)
         return pa.array([None if d is None else bytes_ids(own, literal, d) for d in documents.to_pylist()], pa.list_(pa.int32()))
 
-    return df.withColumn(out, run(F.col(raw)))
+    text = F.col(raw).cast("string")
+    valid = F.is_valid_utf8(text)  # these are texts like any other; only malformed ones are read byte by byte
+    return df.withColumn(out, F.coalesce(ids_of(vocab, F.when(valid, text), df.sparkSession), run(F.when(~valid, F.col(raw)))))
 
 
 _passes: dict[Family, tuple] = {}

@@ -122,7 +122,7 @@ class Merger:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=mask)
 
 
-_mergers: dict[int, Merger] = {}
+_mergers: dict[str, Merger] = {}
 
 
 def merger(broadcast) -> Merger:
@@ -135,11 +135,11 @@ def merger(broadcast) -> Merger:
 
 
 class Sent:
-    """A vocabulary on its way to the workers, with an id for their caches."""
+    """A vocabulary on its way to the workers, with the digest that their caches know it by."""
 
     def __init__(self, spark, vocab: Vocabulary):
         self.vocab = spark.sparkContext.broadcast(vocab)
-        self.id = hash((spark.sparkContext.applicationId, id(vocab), len(vocab.tokens), vocab.family.value))
+        self.id = vocab.digest
 
 
 def low_bar(text: str) -> str:

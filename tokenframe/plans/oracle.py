@@ -59,12 +59,12 @@ def pieces_rows(source: str, key: str, text: str, family: str = "gpt2") -> str:
     return f"SELECT {key}, unnest(range(len(ps)))::INTEGER AS pos, unnest(ps) AS piece FROM (SELECT {key}, {pieces(text, family)} AS ps FROM {source})"
 
 
-def tokens(rows: str, key: str) -> str:
+def tokens(rows: str, key: str, raw: str = "hex(encode(piece))") -> str:
     """CTEs ending in flat(key, pos, token_id) for a query of (key, pos, piece) rows: a recursive merge of distinct pieces."""
     return f"""ranks AS (
   SELECT from_base64(token) AS tok, rank FROM read_csv('{rank_file()}', delim = ' ', header = false, quote = '', escape = '', columns = {{'token': 'VARCHAR', 'rank': 'INTEGER'}})
 ), rows_ AS ({rows}), todo AS (SELECT DISTINCT piece FROM rows_),
-bytes_ AS (SELECT piece AS p, i AS pos, unhex(substr(hex(encode(piece)), 2 * i - 1, 2)) AS sym, 0 AS it FROM (SELECT piece, unnest(range(1, octet_length(encode(piece)) + 1)) AS i FROM todo)),
+bytes_ AS (SELECT piece AS p, i AS pos, unhex(substr(h, 2 * i - 1, 2)) AS sym, 0 AS it FROM (SELECT piece, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM (SELECT piece, {raw} AS h FROM todo))),
 steps AS (
   SELECT p, pos, sym, it FROM bytes_
   UNION ALL
@@ -84,3 +84,48 @@ steps AS (
 
 def with_tokens(query: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     return f"WITH RECURSIVE {tokens(pieces_rows(source, key, text), key)}\n{query}"
+
+
+def ids_rows(rows: str, key: str, source: str, fixed: str = "", raw: str = "hex(encode(piece))") -> str:
+    """(key, n_tokens, ids_md5) for a query of (key, pos, piece) rows; `fixed` is one of (key, pos, 0, id) rows among them."""
+    return f"""WITH RECURSIVE {tokens(rows, key, raw)}, every_ AS (
+  SELECT {key}, r.pos::BIGINT AS a, f.pos::BIGINT AS b, f.id::INTEGER AS id FROM rows_ r JOIN final_ f ON f.p = r.piece{' UNION ALL ' + fixed if fixed else ''}
+) SELECT d.{key}, count(e.id)::BIGINT AS n_tokens, md5(coalesce(string_agg(e.id::VARCHAR, ',' ORDER BY a, b), '')) AS ids_md5
+FROM (SELECT DISTINCT {key} FROM {source}) d LEFT JOIN every_ e ON e.{key} = d.{key} GROUP BY d.{key}"""
+
+
+def batches(lanes_rows: int, least: int, max_docs: int, max_bytes: int) -> str:
+    """Batches filled document by document in each lane."""
+    return f"""WITH RECURSIVE sized AS (
+  SELECT (doc_id % l.lanes)::INTEGER AS lane, doc_id, strlen(coalesce(text, ''))::BIGINT AS n FROM documents, (SELECT greatest({least}, (count(*) + {lanes_rows - 1}) // {lanes_rows}) AS lanes FROM documents) l
+), queue AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS k FROM sized WHERE n <= {max_bytes}), steps AS (
+  SELECT lane, k, doc_id, n, 0::BIGINT AS batch, 1 AS docs, n AS held FROM queue WHERE k = 1
+  UNION ALL
+  SELECT lane, k, doc_id, n, batch + new::BIGINT, CASE WHEN new THEN 1 ELSE docs + 1 END, CASE WHEN new THEN n ELSE held + n END
+  FROM (SELECT q.*, s.batch, s.docs, s.held, s.docs = {max_docs} OR s.held + q.n > {max_bytes} AS new FROM steps s JOIN queue q ON q.lane = s.lane AND q.k = s.k + 1)
+) SELECT lane, batch, doc_id, n AS n_bytes FROM steps UNION ALL SELECT lane, -1, doc_id, n FROM sized WHERE n > {max_bytes}"""
+
+
+def toy_ids(names: list[str], merges: list[tuple[str, str]], runs: list[tuple[str, int]]) -> str:
+    """Ids of documents under a small sentence-piece vocabulary whose merges only use products of earlier ones.
+
+    Then merging by rank is replacing each pair, one after the other. Products and runs are single private characters.
+    """
+    text, known, letter = "replace(text, ' ', '▁')", {t: i for i, t in enumerate(names)}, {}
+    table = [(t, i) for t, i in known.items() if len(t) == 1]
+    for n, (run, i) in enumerate(sorted(runs, key=lambda x: -len(x[0]))):
+        if set(run) & {"\n", "\t"}:
+            mark = chr(0xE200 + n)
+            text = f"replace({text}, {_q(run)}, '{mark}')"
+            table.append((mark, i))
+    for n, (a, b) in enumerate(merges):
+        letter[a + b] = mark = chr(0xE100 + n)
+        text = f"replace({text}, '{letter.get(a, a)}{letter.get(b, b)}', '{mark}')"
+        table.append((mark, known[a + b]))
+    rows = ", ".join(f"({_q(t)}, {i})" for t, i in table)
+    first = known["<0x00>"]
+    return f"""WITH t(c, id) AS (VALUES {rows}), chars AS (SELECT doc_id, unnest(cs) AS c, unnest(range(len(cs))) AS pos FROM (SELECT doc_id, string_split({text}, '') AS cs FROM documents WHERE text <> '')),
+spelled AS (SELECT DISTINCT c, hex(encode(c)) AS h FROM chars),
+ids AS (SELECT s.c, CASE WHEN t.id IS NOT NULL THEN [t.id] ELSE [{first} + list_position(string_split('0123456789ABCDEF', ''), h[2 * i + 1]) * 16 - 16 + list_position(string_split('0123456789ABCDEF', ''), h[2 * i + 2]) - 1 FOR i IN range(length(h) // 2)] END AS own FROM spelled s LEFT JOIN t ON t.c = s.c),
+every_ AS (SELECT doc_id, pos, unnest(own) AS id, unnest(range(len(own))) AS place FROM chars JOIN ids ON ids.c = chars.c)
+SELECT d.doc_id, count(e.id)::BIGINT AS n_tokens, md5(coalesce(string_agg(e.id::VARCHAR, ',' ORDER BY pos, place), '')) AS ids_md5 FROM documents d LEFT JOIN every_ e ON e.doc_id = d.doc_id GROUP BY d.doc_id"""

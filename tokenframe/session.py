@@ -1,22 +1,33 @@
-"""Session helpers."""
+"""Session helpers: shipping the package, reading tables, and tables between steps in the shared folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes a core up to which a table of few files is spread.
 SMALL = 32 << 20
-_ROOT = str(Path(__file__).resolve().parents[1])
+_PACKAGE = Path(__file__).resolve().parent
+_shipped: dict[str, str] = {}
+_own_dir: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    """Send this package to the Python workers as a zip file, once a session; nodes needn't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.clear()
+        path = Path(tempfile.mkdtemp(prefix="tokenframe-")) / "tokenframe.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(_PACKAGE.rglob("*.py")):
+                z.write(f, f.relative_to(_PACKAGE.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped[app] = str(path)
     return spark
 
 
@@ -27,3 +38,45 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if held.getFileCount() < cores and held.getLength() < cores * SMALL else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master may leave it unset, and gets a temporary one."""
+    conf = spark.sparkContext.getConf()
+    at = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="tokenframe-"))
+        at = f"file://{_own_dir[0]}"
+    return at.rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` cut from its lineage: a Parquet table in the shared folder, read again.
+
+    The application owns it: it goes with `drop_written`, or when the application ends.
+    """
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/tokenframe/{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    fs, at = _hadoop(spark, root)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tokenframe_path = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing reads any more."""
+    for df in tables:
+        fs, at = _hadoop(df.sparkSession, df.tokenframe_path)
+        fs.delete(at, True)

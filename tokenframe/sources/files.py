@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -25,20 +25,27 @@ def path_list(text: str) -> list[str]:
     return [x for line in text.split("\n") if (x := line.rstrip("\r")).strip()]
 
 
-def id_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, ids): raw little-endian unsigned 32-bit ids; a size that four doesn't divide is an error."""
-    ship(spark)
+def unpacked(raw: Column) -> Column:
+    """Arrays of ids from little-endian unsigned 32-bit integers; a size that four doesn't divide is an error."""
 
     @F.arrow_udf("array<int>")
     def unpack(raw: pa.Array) -> pa.Array:
-        out = []
+        out: list = []
         for b in raw.to_pylist():
+            if b is None:
+                out.append(None)
+                continue
             if len(b) % 4:
                 raise ValueError("the size of an id file must be a multiple of 4")
             out.append(np.frombuffer(b, "<u4").astype(np.int32))
         return pa.array(out, pa.list_(pa.int32()))
 
-    return spark.read.format("binaryFile").load(paths).select("path", unpack("content").alias("ids"))
+    return unpack(raw)
+
+
+def id_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, ids) of files of raw ids."""
+    return ship(spark).read.format("binaryFile").load(paths).select("path", unpacked(F.col("content")).alias("ids"))
 
 
 def _pack(name: str, kind: str = "<u4"):

@@ -5,33 +5,24 @@ A vocabulary that isn't exactly of a supported family is an error, never a near
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field
-from string import punctuation
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.patterns import Family
 
-_L, _M, _N, _P, _S = (rf"\p{{{c}}}" for c in "LMNPS")
-_BREAK, _SPACE = r"[\r\n]", r"\s"
-
-
-def _word_digit_other(digits: str) -> str:
-    """The split of the two families that differ in their digits."""
-    suffixes = "|".join("'" + x for x in "s t re ve m ll d".split())
-    return "|".join((f"(?i:{suffixes})", rf"[^\r\n{_L}{_N}]?{_L}+", digits, f" ?[^{_SPACE}{_L}{_N}]+{_BREAK}*", f"{_SPACE}*{_BREAK}+", rf"{_SPACE}+(?!\S)", f"{_SPACE}+"))
-
-
-def _marks_and_words() -> str:
-    """The last split of the family with three; its line breaks are raw characters."""
-    marks = "".join("\\" + c if c in "-[\\]" else c for c in punctuation)
-    lines = "[\r\n]"
-    return "|".join((f"[{marks}][A-Za-z]+", f"[^\r\n{_L}{_P}{_S}]?[{_L}{_M}]+", f" ?[{_P}{_S}]+{lines}*", f"{_SPACE}*{lines}+", rf"{_SPACE}+(?!\S)", f"{_SPACE}+"))
-
-
-_SPLITS = {"three": _word_digit_other(_N + "{1,3}"), "single": _word_digit_other(_N), "digits": _N + "{1,3}", "han": "[一-龥぀-ゟ゠-ヿ]+", "last": _marks_and_words()}
+#: The published split patterns, as tokenizer.json files spell them: of Llama 3 and Qwen 2.5, which differ in
+#: their digits, and the three of DeepSeek V3, the last with raw line breaks.
+_WORDS = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|%s| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+_LAST = (
+    r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~][A-Za-z]+"""
+    + "|[^\r\n\\p{L}\\p{P}\\p{S}]?[\\p{L}\\p{M}]+| ?[\\p{P}\\p{S}]+[\r\n]*|\\s*[\r\n]+|\\s+(?!\\S)|\\s+"
+)
+_SPLITS = {"three": _WORDS % r"\p{N}{1,3}", "single": _WORDS % r"\p{N}", "digits": r"\p{N}{1,3}", "han": "[一-龥぀-ゟ゠-ヿ]+", "last": _LAST}
 LOW_BAR = "▁"
 EOS_NAMES = ("<|end_of_text|>", "<|endoftext|>", "<｜end▁of▁sentence｜>")
 
@@ -81,6 +72,11 @@ class Vocabulary:
     def size(self) -> int:
         return max(self.tokens) + 1
 
+    @cached_property
+    def digest(self) -> str:
+        """A digest of everything that ids depend on; workers know vocabularies by it."""
+        return hashlib.sha256(repr((self.family.value, sorted(self.tokens.items()), self.merges, sorted(self.added.items()), self.nfc, self.ignore_merges, self.byte_ids)).encode()).hexdigest()
+
     @property
     def sentence_piece(self) -> bool:
         return self.family is Family.GEMMA3
@@ -94,6 +90,19 @@ class Vocabulary:
         """The ids that close a document: the post-processor's, else the first known literal's."""
         return self.eos_ids or next(((self.added[x],) for x in EOS_NAMES if x in self.added), ())
 
+    def describe(self) -> dict:
+        """What the vocabulary is and which engine serves it."""
+        from ..operators import library
+
+        note = library.why_not(self)
+        return {
+            "family": self.family.value, "size": self.size, "merges": len(self.merges), "added": len(self.added), "special": len(self.special), "path": self.path, "digest": self.digest,
+            "normalizes": self.nfc, "engine": "own" if note else "tiktoken", "engine_note": note,
+        }
+
+    def info_df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([tuple(self.describe().values())], "family string, size int, merges int, added int, special int, path string, digest string, normalizes boolean, engine string, engine_note string")
+
     def vocab_df(self, spark: SparkSession) -> DataFrame:
         added = {i: s for s, i in self.added.items()}
         rows = [
@@ -176,6 +185,20 @@ def _check_literals(literals: list[str], family: Family) -> None:
             raise VocabularyError(f"the literal {x!r} may overlap another one")
 
 
+def _check_runs(model: dict, literals: list[str]) -> None:
+    """A sentence-piece vocabulary's merges may not cross the bounds of runs of line breaks, tabs or low bars.
+
+    The one exception is a closing bracket before a low bar and an opening tag; other literals hold no such character.
+    """
+    for m in model["merges"]:
+        left, right = m.split(" ", 1) if isinstance(m, str) else m
+        if any((set(left) == {c}) != (set(right) == {c}) for c in "\n\t") or (set(left) != {LOW_BAR} and right.startswith(LOW_BAR) and (left, right) != (">", LOW_BAR + "</")):
+            raise VocabularyError(f"the merge {left!r} {right!r} crosses a run")
+    for x in literals:
+        if len(set(x)) > 1 and set(x) & {"\n", "\t", LOW_BAR}:
+            raise VocabularyError(f"the literal {x!r} overlaps a run")
+
+
 def load(source: str | dict) -> Vocabulary:
     """A vocabulary from a tokenizer.json path or its parsed content."""
     if isinstance(source, str):
@@ -230,6 +253,8 @@ def load(source: str | dict) -> Vocabulary:
     except KeyError as e:
         raise VocabularyError(f"the byte token {e.args[0]!r} is missing") from e
     _check_literals(list(added), family)
+    if pieces:
+        _check_runs(model, list(added))
     bos, eos = _template_ids(spec.get("post_processor"), added)
     return Vocabulary(
         family, tokens, model_ids, merges, added, frozenset(i for c, i in added.items() if flags[c].get("special")), bos, eos, family is Family.QWEN25, bool(model.get("ignore_merges", False)), byte_ids, source if isinstance(source, str) else None, flags
