@@ -1,74 +1,22 @@
-"""Shared helpers of the training-data operators: tables, shared folder, Arrow chunks."""
+"""Shared helpers of the training-data operators: tables, Arrow chunks, hashed shares."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_written, read_parquet, ship, written
+
+__all__ = ["drop_written", "ship", "written"]
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
 CHUNK_BYTES = 4 << 20
-#: Bytes a core up to which a table of few files is spread.
-SMALL = 32 << 20
-
-_ROOT = str(Path(__file__).resolve().parents[2])
-_own_dir: list[str] = []
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="tokenframe-"))
-        at = f"file://{_own_dir[0]}"
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tokenframe/{uuid.uuid4().hex}-{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` cut from its lineage: a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.tokenframe_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by `written` that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.tokenframe_path)
-    path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, spread over all cores where it is small and has fewer files than they: one row group is one task."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = ship(spark).read.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if held.getFileCount() < cores and held.getLength() < cores * SMALL else df
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def text_chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES):
