@@ -356,25 +356,39 @@ def test_top_k_equals_brute_force(spark):
         if q % 100 == 0:
             best = sorted(((-int(x @ y), i) for i, y in usable if i != q and len(y) == len(x)))[:10]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for shard, block in ((1024, 32), (1 << 22, 1 << 20)):
-        got = topk.top_k(df, F.col("vec_id") % 100 == 0, shard_components=shard, block_components=block)
+    for shard, least in ((1024, 1 << 20), (1 << 22, 1 << 20), (1 << 22, 50)):
+        got = topk.top_k(df, F.col("vec_id") % 100 == 0, shard_components=shard, least_shard=least)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
 def test_top_k_stops_only_on_proof():
     r = np.random.default_rng(8)
-    matrix = (r.normal(0, 1, (3000, 8)) ** 3 * 1000).astype(np.int64)
-    index = topk.ImpactIndex(np.arange(3000), matrix)
-    read = []
-    exact = index.exact
-    index.exact = lambda rows, q, k: (read.append(len(rows)), exact(rows, q, k))[1]
-    for q in range(40):
-        ids, scores = index.search(matrix[q], q)
+    matrix = (r.normal(0, 1, (3000, 8)) ** 3 * 1000 / 4.0 ** np.arange(8)).astype(np.int64)  # a few dimensions weigh most
+    index = topk.ImpactIndex(np.arange(3000), np.arange(3000), matrix)
+    few = 0
+    for q, (places, scores) in enumerate(index.search(matrix[:40], np.arange(40))):
         order = np.lexsort((np.arange(3000), -(matrix @ matrix[q])))
         want = order[order != q][:10]
-        assert ids.tolist() == want.tolist()
-    assert min(read) < 3000  # some search stopped before everything was read
+        assert places.tolist() == want.tolist() and scores.tolist() == (matrix @ matrix[q])[want].tolist()
+        rows = index.possible(matrix[q], q, int((matrix @ matrix[q])[want[-1]]))
+        assert rows is None or set(want.tolist()) <= set(rows.tolist())
+        few += rows is not None
+    assert few > 20  # most searches stop on the proof before half of the vectors are read
+
+
+def test_top_k_of_repeated_queries_and_large_components(spark):
+    r = np.random.default_rng(4)
+    vectors = [(i, r.normal(0, 1, 2).tolist()) for i in range(60)] + [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (100, [-3.0, 0.5]), (200, [1e5, 1.0]), (201, [1e5, 1.0]), (300, [1e300, -1e300]), (301, [1e305, 1.0]), (302, [-1e300, 1e200]), (0, [4e18, 1e-320])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    exact = [(i, [int(1024 * x // 1) if abs(x) < 1e290 else 1024 * int(x) for x in v]) for i, v in vectors]
+    want = []
+    for a, (q, x) in enumerate(exact):
+        if q % 100 == 0:
+            best = sorted((-sum(s * t for s, t in zip(x, y)), i) for b, (i, y) in enumerate(exact) if a != b)[:10]
+            want += [(q, k + 1, i, max(-(2**63 - 1), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+    for shard in (8, 1 << 22):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, shard_components=shard).collect())) == sorted(want)
 
 
 # 7, 8 and all SQL
