@@ -461,13 +461,33 @@ def test_chat_of_odd_rows(spark):
     rows += rows[:3]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string")
     out = chat.formatted(chat.canonical(chat.records_of(df))).withColumn("back", chat.read_back(F.col("formatted"))).collect()
-    assert len(out) == 3
+    alone = [r for r in out if r["conv_id"] is None]
+    assert len(out) == 2 + len(alone)
+    assert sorted(tuple(r["back"][0]) for r in alone) == sorted((role or "", text or "") for c, _, role, text, _ in rows if c is None) and all(len(r["back"]) == 1 for r in alone)
     for r in out:
+        if r["conv_id"] is None:
+            continue
         own = sorted((t, role or "", text or "") for c, t, role, text, _ in rows if c == r["conv_id"])
         assert [tuple(x) for x in r["back"]] == [(a, b) for _, a, b in own]
     assert chat.records_of(df.limit(0)).count() == 0
 
 
+def test_very_long_conversations_are_whole_or_an_error(spark):
+    df = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("ab<"), 7_000_001).alias("text"))
+    out = chat.formatted(chat.canonical(chat.records_of(df))).select(F.length("formatted").alias("n"), F.length(chat.read_back(F.col("formatted"))[0]["text"]).alias("back")).first()
+    assert tuple(out) == (6 + 4 * 7_000_001 + 4, 21_000_003)
+    json = df.select(F.concat(F.lit('{"messages":[{"role":"user","text":"'), "text", F.lit('"}]}')).alias("record"))
+    with pytest.raises(Exception, match="21000"):
+        chat.canonical(json).select("turns").collect()
+
+
+def test_structs_select_layouts_by_their_fields(spark):
+    kind = "record struct<system:string,prompt:string,completion:string,messages:array<struct<role:string,content:string>>,output:string,instruction:string>, layout_text string"
+    rows = [((None, "a", "b", None, None, None), "x"), (("s", "a", "b", None, None, None), "x"), ((None, None, None, [("user", "hi"), (None, None)], None, None), "x"), ((None, None, None, [], None, None), "x"), ((None, None, None, None, "o", "i"), "x"), ((None, "a", None, None, None, None), "x"), (None, "x")]
+    got = [r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.canonical(spark.createDataFrame(rows, kind).coalesce(1)).collect()]
+    assert got == [[("user", "a"), ("assistant", "b")], [("system", "s"), ("user", "a"), ("assistant", "b")], [("user", "hi"), ("", "")], [], [("user", "i"), ("assistant", "o")], None, None]
+
+
 def test_layouts_must_differ(spark):
     two = {"a": chat.Fields((("user", "x"),)), "b": chat.Fields((("assistant", "x"),))}
     with pytest.raises(ValueError):

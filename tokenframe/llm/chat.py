@@ -9,9 +9,15 @@ The template: `[TAG]body</s>` per turn, TAG being SYS, INST, OUT or `R:` and the
 `\\`, `<` and `[` become `\\b`, `\\l` and `\\o` (in roles `]` becomes `\\c` too), so no control string survives
 in a text and reading back is exact.
 
-Malformed JSON and unknown layouts give null turns, and null turns null formats. Null roles and texts are
-empty strings. A record without turns gives empty turns and an empty format. Turns that tie on their number
-are ordered by role, then text; repeated rows stay; null conv_ids make one conversation. Other columns are ignored.
+Records are JSON texts or structs. A struct's paths are those of its fields that aren't null, and its turns come
+straight from its fields, so conversations made of rows never pass through JSON. Malformed JSON and unknown
+layouts give null turns, and null turns null formats. A JSON text of over LONGEST characters that the parser
+doesn't take is an error, for it may be well formed: the parser takes strings of 20 million characters.
+
+Null roles and texts are empty strings. A record without turns gives empty turns and an empty format, an empty
+table no records. Turns that tie on their number are ordered by role, then text; repeated rows stay. A row with a
+null conv_id belongs to no known conversation and is one of its own. A conversation has to fit in one value
+(2 GB). Other columns, whatever their names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from itertools import combinations
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import table
 
@@ -29,6 +36,8 @@ TURNS = "array<struct<role:string,text:string>>"
 ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
 #: The shape of a list without turns, which layouts may share; the first declared has it.
 EMPTY = "ARRAY<VOID>"
+#: Characters of a JSON text beyond which a parser that gives up is an error.
+LONGEST = 16_000_000
 TAGS = {"system": "SYS", "user": "INST", "assistant": "OUT"}
 
 
@@ -48,13 +57,17 @@ class Messages:
         every = [c for n in range(len(self.beside) + 1) for c in combinations(self.beside, n)]
         return ["OBJECT<" + ", ".join(sorted((*c, x), key=lambda x: x.split(":")[0])) + ">" for x in (own, f"{self.path}: {EMPTY}") for c in every]
 
-    def turns(self, v: Column) -> Column:
+    def turns(self, v: Column, own: StructType | None = None) -> Column:
+        """The turns of a variant, or of a struct of the type `own`."""
         kind = f"array<struct<`{self.role}`:string,`{self.text}`:string>>"
+        if own is not None and not _has(own, self.path, (self.role, self.text)):
+            return F.lit(None).cast(TURNS)
         role = lambda x: x[self.role]
         if self.aliases:
             names = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
             role = lambda x: F.coalesce(names[x[self.role]], x[self.role])
-        return F.transform(F.try_variant_get(v, f"$.{self.path}", kind), lambda x: _turn(role(x), x[self.text]))
+        found = F.try_variant_get(v, f"$.{self.path}", kind) if own is None else v[self.path]
+        return F.transform(found, lambda x: _turn(role(x), x[self.text]))
 
 
 @dataclass(frozen=True)
@@ -71,8 +84,10 @@ class Fields:
         every = [c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
         return ["OBJECT<" + ", ".join(sorted((*needed, *c))) + ">" for c in every]
 
-    def turns(self, v: Column) -> Column:
-        get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    def turns(self, v: Column, own: StructType | None = None) -> Column:
+        """The turns of a variant, or of a struct of the type `own`."""
+        names = own.names if own is not None else []
+        get = lambda name: F.try_variant_get(v, f"$.{name}", "string") if own is None else v[name].cast("string") if name in names else F.lit(None).cast("string")
         below = dict(self.joined)
         parts = []
         for role, name in self.turns_of:
@@ -82,6 +97,11 @@ class Fields:
         return F.concat(*parts)
 
 
+def _has(own: StructType, path: str, fields: tuple[str, ...]) -> bool:
+    kind = own[path].dataType if path in own.names else None
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and set(fields) <= set(kind.elementType.names)
+
+
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
@@ -103,8 +123,23 @@ def shape(v: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(v), r": (?!ARRAY<|OBJECT<)[A-Z]+(\([^)]*\))?", "")
 
 
-def fingerprint(v: Column) -> Column:
-    return F.xxhash64(shape(v))
+def struct_shape(record: Column, own: StructType) -> Column:
+    """The same of a struct: of its fields that aren't null. Lists have the paths of their elements' type."""
+
+    def path(field) -> Column:
+        kind, name = field.dataType, field.name
+        if isinstance(kind, ArrayType):
+            inner = f"OBJECT<{', '.join(sorted(kind.elementType.names))}>" if isinstance(kind.elementType, StructType) else ""
+            return F.when(record[name].isNotNull(), f"{name}: ARRAY<{inner}>")
+        if isinstance(kind, StructType):
+            return F.when(record[name].isNotNull(), F.concat(F.lit(f"{name}: "), struct_shape(record[name], kind)))
+        return F.when(record[name].isNotNull(), name)
+
+    return F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *(path(own[n]) for n in sorted(own.names))), F.lit(">"))
+
+
+def fingerprint(v: Column, own: StructType | None = None) -> Column:
+    return F.xxhash64(shape(v) if own is None else struct_shape(v, own))
 
 
 def _hash(text: str) -> int:
@@ -113,7 +148,7 @@ def _hash(text: str) -> int:
 
 
 def canonical(records: DataFrame, column: str = "record", layouts: dict | None = None) -> DataFrame:
-    """Adds layout (string) and turns (array of role, text) to records whose JSON is in `column`."""
+    """Adds layout (string) and turns (array of role, text) to records in `column`: JSON texts or structs."""
     layouts = LAYOUTS if layouts is None else layouts
     by_hash = {}
     for name, layout in layouts.items():
@@ -121,10 +156,17 @@ def canonical(records: DataFrame, column: str = "record", layouts: dict | None =
             if by_hash.setdefault(_hash(s), name) != name and EMPTY not in s:
                 raise ValueError(f"two layouts have the shape {s}")
     v, known = F.col("__variant"), F.create_map(*(F.lit(x) for pair in by_hash.items() for x in pair))
-    parsed = records.withColumn("__variant", F.try_parse_json(column)).withColumn("layout", known[fingerprint(v)])
+    own = records.schema[column].dataType if isinstance(records.schema[column].dataType, StructType) else None
+    if own is None:
+        given_up = F.try_parse_json(column).isNull() & (F.length(column) > LONGEST)
+        text = F.when(given_up, F.raise_error(F.concat(F.lit("a JSON text that the parser doesn't take has characters: "), F.length(column).cast("string"))).cast("string")).otherwise(F.col(column))
+        parsed = records.withColumn("__variant", F.try_parse_json(text))
+    else:
+        parsed = records.withColumn("__variant", F.col(column))
+    parsed = parsed.withColumn("layout", known[fingerprint(v, own)])
     turns = F.lit(None).cast(TURNS)
     for name, layout in layouts.items():
-        turns = F.when(F.col("layout") == name, layout.turns(v)).otherwise(turns)
+        turns = F.when(F.col("layout") == name, layout.turns(v, own)).otherwise(turns)
     return parsed.withColumn("turns", turns).drop("__variant")
 
 
@@ -179,10 +221,11 @@ def loss_text(text: Column, spans: Column) -> Column:
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record) of rows by turn: one JSON record with a list of messages each."""
+    """(conv_id, record) of rows by turn: one struct with a list of messages each."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     messages = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("__alone")
+    return rows.withColumn("__alone", alone).groupBy("conv_id", "__alone").agg(F.struct(messages.alias("messages")).alias("record")).drop("__alone")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +240,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '[', '\o')) AS body,
     CASE role WHEN 'system' THEN 3 WHEN 'user' THEN 4 WHEN 'assistant' THEN 3
@@ -210,5 +253,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(tag + 2 + body + 4)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
