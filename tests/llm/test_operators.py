@@ -610,6 +610,30 @@ def test_trees_lose_no_link(spark):
         assert sorted(map(tuple, got.select("doc_id", "component_id").collect())) == want
 
 
+def test_shared_block_values_are_cut_by_trees(spark):
+    r = np.random.default_rng(5)
+    near = np.unique(r.integers(0, 2**21, 1500, dtype=np.uint64) << np.uint64(43) | np.uint64(12345))  # two of three blocks alike
+    other = r.integers(0, 2**63, 300, dtype=np.uint64)
+    fps = np.unique(np.concatenate((near, near[:200] ^ np.uint64(1 << 63 | 2), other, other[:50] ^ np.uint64(5))))
+    trees = simhash.build_trees(fps, len(fps), 2, 200)
+    assert sum(map(len, trees)) >= 2  # the shared values have trees
+    place, fp, visits = simhash.routed(fps, trees)
+    assert np.unique(place[np.isin(fp, near)]).size > 8 and visits.any()
+    ids = list(range(len(fps)))
+    df = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in zip(ids, fps.tolist())], "doc_id long, fp long")
+    got = simhash.components(simhash.written(df, "fps"), shard_rows=200)
+    assert sorted(map(tuple, got.select("doc_id", "component_id").collect())) == sorted(zip(ids, components_by_hand(ids, fps)))
+
+
+def test_copies_beyond_one_share_are_joined_whole(spark, monkeypatch):
+    from tokenframe.functions import skew
+
+    monkeypatch.setattr(simhash, "spread_join", lambda *a: skew.spread_join(*a, per=7))
+    df = spark.createDataFrame([(i, "the same words for everyone here") for i in range(50)] + [(100 + i, None) for i in range(20)] + [(200, "alone in all the wide world")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got == {**{i: 0 for i in range(50)}, **{100 + i: 100 for i in range(20)}, 200: 200}
+
+
 def test_long_chains_become_stars(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(i + 1, i) for i in range(1000, 1010)], "u long, v long")
