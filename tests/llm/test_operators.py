@@ -435,6 +435,25 @@ def test_backoff_equals_brute_force(spark, odd, order):
     assert lm.score(odd.limit(0)).count() == 0
 
 
+def test_count_tables_equal_brute_force(spark, odd):
+    docs = [(r[1] or "").encode().lower().split() for r in odd_documents()]
+    for n in (1, 2, 3):
+        want = Counter(tuple(d[i : i + n]) for d in docs for i in range(len(d) - n + 1))
+        for chunk, bucket in ((1 << 20, 1 << 20), (20_000, 300)):
+            got = lm.ngram_counts(odd, 3, chunk_bytes=chunk, bucket_bytes=bucket).where(F.col("n") == n).select("count").collect()
+            assert sorted(r[0] for r in got) == sorted(want.values())
+
+
+def test_a_flood_of_null_ids_is_spread_over_chunks(spark):
+    texts = [f"word{i % 9} word{i % 7} word{i % 5} and so on {i}" for i in range(600)] + [None, "", " "] * 200
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    own, _ = lm._exploded(df, 2, 2000, 2000)
+    sizes = [r["count"] for r in own.groupBy("chunk").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 150
+    want = sorted((n, round(s, 4)) for n, s in backoff_by_hand(texts, 3))
+    assert sorted((r["n_tokens"], round(r["log_score"], 4)) for r in lm.score(df, 3, chunk_bytes=2000, bucket_bytes=2000).collect()) == want
+
+
 def test_chat_layouts(spark):
     import json
 
