@@ -1,13 +1,15 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus, computed relationally.
 
-Method: documents are hashed to chunks. A chunk is exploded to n-gram rows (order, gram, times), aggregated within the
+Method: consecutive documents of a partition make a chunk. A chunk is exploded to n-gram rows (order, gram, times), aggregated within the
 chunk, and the rows are exchanged by ranges of the gram's hash, the buckets. A bucket's count table (gram, count) is
 the grouped sum over all its rows; the rows are joined with it and take their corpus counts back to their chunk.
 There the counts meet the chunk's documents, and the terms are summed per document. A frequent n-gram is one row a
 chunk, however many documents hold it, so no key is hot. `ngram_counts` gives the count tables themselves.
 
 Rows travel in columns: all rows of a chunk for a bucket are one value, their sorted hashes as differences, because a
-row of Spark's own takes five times the room; see the README for figures. The texts are exchanged once.
+row of Spark's own takes five times the room; see the README for figures. The texts are exchanged once, compressed.
+If a lost chunk of texts comes back with other documents than before, which needs an input in no fixed order, that is
+an error.
 
 Score of a word: count(n-gram) / count(context) for the longest n-gram that occurs MIN_COUNT times or more,
 times BACKOFF for each order given up; the last resort is count(word) / words of the corpus. Counts below MIN_COUNT
@@ -26,10 +28,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import segment_sums, ship, table, written
+from .common import segment_sums, ship, table, text_chunks, written
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Text bytes of a chunk, and of the corpus per hash bucket.
@@ -112,10 +115,44 @@ def _unpack(raw: bytes) -> list[bytes]:
     return out
 
 
+def _chunks(chunk_bytes: int):
+    def run(batches):
+        """Consecutive rows (doc_id, text) as one row: their ids, and their texts compressed."""
+        first = TaskContext.get().partitionId() << 32
+        held, size, made = [], 0, 0
+
+        def flush():
+            ids = pa.concat_arrays([h.column(0) for h in held])
+            texts = pa.concat_arrays([h.column(1).cast(pa.large_string()) for h in held])
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+            raw = zstandard.ZstdCompressor(level=1).compress(np.diff(offsets).tobytes() + texts.buffers()[2][: int(offsets[-1])].to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([raw], pa.large_binary()).cast(pa.binary())], ["chunk", "doc_ids", "texts"])
+
+        for batch in batches:
+            for a, b in text_chunks(batch.column(1), chunk_bytes):
+                held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], ["doc_id", "text"]))
+                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py()
+                if size >= chunk_bytes:
+                    yield flush()
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield flush()
+
+    return run
+
+
+def _texts(chunk: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """(doc_ids, texts) of the one row of a chunk."""
+    ids = chunk.column("doc_ids").combine_chunks().flatten()
+    raw = zstandard.ZstdDecompressor().decompress(chunk.column("texts")[0].as_py())
+    offsets = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int64, len(ids)))))
+    return ids, pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)[8 * len(ids) :]).cast(pa.string())
+
+
 def _explode(order: int, buckets: int):
-    def run(key, docs):
+    def run(key, chunk):
         """A chunk's n-gram rows, those of a bucket in one value."""
-        grams = Grams(docs.column("text"), order)
+        grams = Grams(_texts(chunk)[1], order)
         of = [bucket_of(k, buckets) for k in grams.keys]
         some = np.unique(np.concatenate(of))  # buckets without n-grams of this chunk get no row
         first, last = ([np.searchsorted(b, some, side) for b in of] for side in ("left", "right"))
@@ -126,7 +163,7 @@ def _explode(order: int, buckets: int):
                 keys, times = (x[first[k][j] : last[k][j]] for x in (grams.keys[k], grams.times[k]))
                 part += [_planes(np.diff(keys, prepend=np.uint64(0))), _planes(times)]
             out.append(_pack(part))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(out), pa.int32()), "bucket": pa.array(some, pa.int32()), "grams": pa.array(out, pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "bucket": pa.array(some, pa.int32()), "grams": pa.array(out, pa.binary())})
 
     return run
 
@@ -161,10 +198,13 @@ def _join(order: int, least: int):
 
 
 def _score(order: int, least: int, backoff: float):
-    def run(key, docs, rows):
-        grams = Grams(docs.column("text"), order)
+    def run(key, chunk, rows):
+        ids, texts = _texts(chunk)
+        grams = Grams(texts, order)
         blocks = [_unpack(x) for x in rows.sort_by("bucket").column("counts").to_pylist()]
         seen = [np.concatenate([_from_planes(b[k], "<u8") for b in blocks]).astype(np.float64) if blocks else np.zeros(0) for k in range(order)]
+        if [len(c) for c in seen] != [len(x) for x in grams.keys]:
+            raise RuntimeError("a chunk's documents changed between two reads of the input")
         n = len(grams.place)
         count = [np.where(at >= 0, c[at], 0.0) if len(c) else np.zeros(n) for at, c in zip(grams.at, seen)]
         log, last = np.log(np.maximum(count[0], 1)), np.ones(n)
@@ -174,17 +214,18 @@ def _score(order: int, least: int, backoff: float):
             lower = np.where(grams.place >= k, log + np.log(backoff), log)
             log = np.where(found, np.log(np.where(found, count[k], 1)) - np.log(np.where(found, context, 1)), lower)
             last[found] = 0
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(grams.counts), "partial": pa.array(segment_sums(log, grams.counts)), "last_resorts": pa.array(segment_sums(last, grams.counts).astype(np.int64))})
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(grams.counts), "partial": pa.array(segment_sums(log, grams.counts)), "last_resorts": pa.array(segment_sums(last, grams.counts).astype(np.int64))})
 
     return run
 
 
 def _exploded(docs: DataFrame, order: int, chunk_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with words, by chunk; their n-gram rows by chunk and bucket)."""
+    """(chunks of the documents with words; their n-gram rows by chunk and bucket)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(1, -(-size // chunk_bytes)), max(LEAST_BUCKETS, -(-size // bucket_bytes))
-    own = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own, own.groupBy("chunk").applyInArrow(_explode(order, buckets), "chunk int, bucket int, grams binary")
+    buckets = max(LEAST_BUCKETS, -(-size // bucket_bytes))
+    some = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = some.mapInArrow(_chunks(chunk_bytes), "chunk long, doc_ids array<long>, texts binary")
+    return own, own.groupBy("chunk").applyInArrow(_explode(order, buckets), "chunk long, bucket int, grams binary")
 
 
 def ngram_counts(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -203,7 +244,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT, backoff:
     """(doc_id, n_tokens, log_score, score) of every row of `docs` (doc_id, text)."""
     ship(docs.sparkSession)
     own, grams = _exploded(docs, order, chunk_bytes, bucket_bytes)
-    counts = grams.groupBy("bucket").applyInArrow(_join(order, least), "chunk int, bucket int, counts binary")
+    counts = grams.groupBy("bucket").applyInArrow(_join(order, least), "chunk long, bucket int, counts binary")
     scored = written(own.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_score(order, least, backoff), SCORED), "scored")
     total = scored.agg(F.sum("n_tokens")).first()[0] or 1
     log = F.col("partial") - F.col("last_resorts") * float(np.log(total))
