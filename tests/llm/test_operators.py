@@ -237,47 +237,75 @@ def test_base_rules_of_odd_rows(spark, odd):
     assert quality.judge(quality.statistics(odd.limit(0))).count() == 0
 
 
-def mcd_by_hand(x, share, steps):
-    """The same estimate in numpy: mean, and the inverse of the floored covariance."""
-    floors = np.array(quality.FLOORS)
-
-    def bin_at(values, p):
-        b = np.sort(np.floor(values * 256))
-        return b[int(np.ceil(p * len(b) - 1e-9)) - 1]
-
-    mean = np.array([(bin_at(c, 0.5) + 0.5) / 256 for c in x.T])
-    scale = np.array([max((bin_at(c, 0.75) - bin_at(c, 0.25)) / 256 / 1.349, f) for c, f in zip(x.T, floors)])
-    inverse = np.diag(1 / scale**2)
-    for _ in range(steps):
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-        bins = np.minimum(np.floor(d * quality._BIN), quality._BINS)
-        limit = np.sort(bins)[int(np.ceil(share * len(bins) - 1e-9)) - 1]
-        near = x[bins <= limit]
-        mean = near.mean(axis=0)
-        inverse = np.linalg.inv(quality.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(floors**2))
-    return np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+def quartiles_by_hand(x):
+    b = np.sort(np.floor(x * quality._FINE), axis=0)
+    at = lambda p: b[int(np.ceil(p * len(b) - 1e-9)) - 1]
+    return (at(0.5) + 0.5) / quality._FINE, (at(0.75) - at(0.25)) / quality._FINE / 1.349
+
+
+def mcd_by_hand(x, prior):
+    """The same estimate row by row: mean, covariance, and the log-determinants of every start step by step."""
+    noise, n = np.diag(quality.NOISE), len(x)
+    median, spread = quartiles_by_hand(x)
+    z = x - median
+    size = (z**2).sum(axis=1)
+    u = z[size > 0] / np.sqrt(size[size > 0])[:, None]
+    starts = [(median, np.diag(spread**2)), (median, 5 * u.T @ u / n), (x.mean(axis=0), np.cov(x.T, bias=True))]
+    ends = []
+    for mean, cov in starts:
+        cov, dets = cov + noise, []
+        for _ in range(quality.MAX_STEPS):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            bins, left, w = np.floor(np.log2(1 + d) * quality._BIN), quality.HALF * n, np.zeros(n)
+            for b in np.unique(bins):
+                own = bins == b
+                w[own] = min(1.0, left / own.sum())
+                left -= own.sum()
+                if left <= 0:
+                    break
+            m = w @ x / w.sum()
+            s = quality.CONSISTENCY * ((x * w[:, None]).T @ x / w.sum() - np.outer(m, m)) + noise
+            mean, cov = (n * m + quality.PRIOR * prior[0]) / (n + quality.PRIOR), (n * s + quality.PRIOR * prior[1]) / (n + quality.PRIOR)
+            dets.append(np.linalg.slogdet(cov)[1])
+        ends.append((round(dets[-1], 9), len(ends), mean, cov, dets))
+    return min(ends, key=lambda e: e[:2])[2:4], [e[4] for e in ends]
+
+
+SF_WHOLE = "/root/testdata/sf0.1" if os.path.isdir("/root/testdata/sf0.1") else SF
 
 
 @needs_tables
 def test_robust_outliers_equal_numpy(spark):
-    docs = table(spark, "documents")
-    got = quality.judge(quality.statistics(docs)).select("doc_id", "g_lang", "g_source", *NAMES, "distance", "kept", *quality.STATS).collect()
-    groups = {}
-    for r in got:
-        if not r["base_failed"]:
-            groups.setdefault((r["g_lang"], r["g_source"]), []).append(r)
-    assert sum(map(len, groups.values())) > 800
-    for own in groups.values():
-        if len(own) < quality.LEAST_GROUP:
-            assert all(r["kept"] for r in own)
-            continue
-        want = mcd_by_hand(np.array([[r[s] for s in quality.STATS] for r in own]), quality.HALF, quality.STEPS)
-        assert np.allclose(want, [r["distance"] for r in own], rtol=1e-6, atol=1e-9)
+    got = quality.judge(quality.statistics(table(spark, "documents", SF_WHOLE))).select("doc_id", "g_lang", "g_source", *NAMES, "distance", "kept", *quality.STATS).collect()
+    passing = [r for r in got if not r["base_failed"]]
+    vectors = lambda rows: np.array([[r[s] for s in quality.STATS] for r in rows])
+    median, spread = quartiles_by_hand(vectors(passing))
+    every = (median, np.diag(spread**2) + np.diag(quality.NOISE))
+    by_lang, by_group = {}, {}
+    for r in passing:
+        by_lang.setdefault(r["g_lang"], []).append(r)
+        by_group.setdefault((r["g_lang"], r["g_source"]), []).append(r)
+    langs = {k: mcd_by_hand(vectors(own), every)[0] for k, own in by_lang.items()}
+    assert len(by_group) >= 60
+    for (lang, _), own in by_group.items():
+        x = vectors(own)
+        (mean, cov), dets = mcd_by_hand(x, langs[lang])
+        want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        assert np.allclose(want, [r["distance"] for r in own], rtol=1e-5, atol=1e-8)
         assert [r["kept"] for r in own] == [w <= quality.CUT for w in want]
-    labels = dict(table(spark, "labels").select("doc_id", "quality").collect())
-    clean = [r for r in got if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
+        assert all(b <= a + 0.05 for d in dets for a, b in zip(d, d[1:]))  # steps lower the determinant, but for the width of a bin
+    labels = dict(table(spark, "labels", SF_WHOLE).select("doc_id", "quality").collect())
+    clean = [r for r in passing if labels.get(r["doc_id"]) == 1]
     junk = [r for r in got if labels.get(r["doc_id"]) == 0]
-    assert np.mean([r["kept"] for r in clean]) > 0.98 and np.mean([not r["kept"] for r in junk]) > 0.9
+    assert np.mean([r["kept"] for r in clean]) > 0.97 and np.mean([not r["kept"] for r in junk]) > 0.9
+
+
+def test_small_groups_and_one_row_have_estimates(spark):
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows = [(i, text(r.randint(60, 400)), "en", "big") for i in range(150)] + [(200, text(100), "en", "one"), (201, text(200), None, None), (202, " ".join(["#$%"] * 3 + [text(1)]) + " " + " ".join(f"#{i}%" for i in range(60)), "en", "one")]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge(quality.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert got[200] and got[201] and not got[202] and sum(got[i] for i in range(150)) >= 148
 
 
 # 5

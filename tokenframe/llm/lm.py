@@ -14,7 +14,7 @@ an error.
 Score of a word: count(n-gram) / count(context) for the longest n-gram that occurs MIN_COUNT times or more,
 times BACKOFF for each order given up; the last resort is count(word) / words of the corpus. Counts below MIN_COUNT
 of orders from two on aren't sent back, for they are never used. Counts include the document itself and never cross
-documents. Words are runs of non-white-space with A-Z lower-cased. n-grams are told apart by 64-bit hashes.
+documents. Words are runs of non-white-space with A-Z lower-cased. n-grams are told apart by 60-bit hashes.
 
 Null and empty texts have no words, a log_score of 0 and a null score. Very long texts are scored whole; a chunk has
 one such text at least. Null doc_ids and repeated rows keep a row each and count each time; ties don't occur. An empty
@@ -36,7 +36,9 @@ from .common import segment_sums, ship, table, text_chunks, written
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Text bytes of a chunk, and of the corpus per hash bucket.
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 8 << 20, 24
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 6 << 20, 24
+#: Bits of a hash that are kept.
+BITS = 60
 SCORED = "doc_id long, n_tokens long, partial double, last_resorts long"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +74,7 @@ class Grams:
             ends = np.flatnonzero(self.place >= k)  # positions that end an n-gram of k + 1 words
             if k:
                 gram = _mixed(gram[:-1] * _MIX + words[k:] + np.uint64(k))
-            distinct, inverse, times = np.unique(gram[ends - k], return_inverse=True, return_counts=True)
+            distinct, inverse, times = np.unique(gram[ends - k] >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
             self.keys.append(distinct)
             self.times.append(times.astype(np.uint32))
             at = np.full(n, -1, np.int32)
@@ -87,7 +89,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The range of the hash space that a hash is in; ranges are in the order of hashes."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _planes(values: np.ndarray) -> bytes:

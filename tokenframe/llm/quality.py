@@ -1,19 +1,25 @@
 """Quality rules: robust multivariate outliers of document statistics; DataFrame functions only.
 
-Method: documents that pass the base rules are described by five transformed statistics. For every language
-and source a minimum-covariance-determinant estimate is made: from a deterministic start (medians and
-quartile ranges) concentration steps keep the HALF share of rows nearest to the current estimate, take their
-mean and covariance, and so on. A document is rejected if its squared Mahalanobis distance from its group's
-estimate exceeds CUT. Scales below FLOORS count as these floors, so a statistic that nearly all documents
-share (no symbols, say) doesn't make small deviations look large. Groups below LEAST_GROUP rows are pooled
-per language, and these pools, if still too small, over all languages; in a last pool that is too small
-nothing is rejected.
-
-All steps are grouped sums and histograms of bounded width, so a source with a third of all rows is summed
-in partial aggregates; nothing is collected. Three-word windows are compared by 64-bit hashes.
-
-Null and empty texts have no words and fail the base. Null languages and sources are groups of their own.
-Null doc_ids and repeated rows keep a row each. Columns other than doc_id, text, lang and source are ignored.
+Method: documents that pass the base rules are described by five transformed statistics, and for every language and
+source a minimum-covariance-determinant estimate is made. From three deterministic starts (medians and quartile
+ranges; spatial signs; all rows) concentration steps keep the HALF share of rows nearest to the current estimate, the
+last of them in part, and take their mean and covariance, until nothing changes or MAX_STEPS are done; the start that
+ends with the smallest determinant wins. A document is rejected if its squared Mahalanobis distance from its group's
+estimate exceeds CUT, a quantile of the chi-square distribution.
+
+Regularization: counts are noisy, and most groups have exact zeros in most rows of some statistics, where a plain
+estimate is degenerate. So a covariance is the scatter of the rows plus NOISE, the variance that counting alone gives:
+one for the square roots of counts (Anscombe), and for the mean word length that of a text of the shortest length that
+passes. A group's estimate is further averaged with its language's, which counts as PRIOR rows, and a language's with
+the medians and quartile ranges of all rows; so a group of any size has an estimate, and small ones are near their
+language's. Nothing here was set by labels.
+
+All steps are grouped sums over bounded histograms, so a source with a third of all rows is summed in partial
+aggregates; nothing is collected. Repeated three-word windows are found by their words.
+
+Null and empty texts have no words and fail the base; very long texts are read whole. Null languages and sources are
+groups of their own. Null doc_ids and repeated rows keep a row each; equal distances fall in one bin and are kept in
+equal part. An empty table gives no rows. Columns other than doc_id, text, lang and source, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +34,12 @@ WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 HALF, CONSISTENCY = 0.6, 1.6848
 #: The chi-square quantile of 0.9999 with five degrees of freedom.
 CUT = 25.745
-STEPS, LEAST_GROUP = 4, 60
+MAX_STEPS, PRIOR = 5, 10
 STATS = ("s_length", "s_word", "s_symbol", "s_lines", "s_repeat")
-FLOORS = (1.2, 0.08, 0.15, 0.7, 0.12)
-_BIN, _BINS = 64, 1 << 14
+#: Variances from counting: word lengths vary by about half their mean, and 50 words pass.
+NOISE = (0.0, 0.005, 1.0, 1.0, 1.0)
+#: Bins of a statistic's unit; bins of a doubling of one plus the squared distance.
+_FINE, _BIN = 256, 32
 
 
 def _let(value: Column, then) -> Column:
@@ -44,7 +52,8 @@ def _repeat_words(words: Column) -> Column:
     three = F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(hashes):
-        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        window = lambda h, i: F.struct(h.alias("x"), F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(window(h, i).alias("h"), i.alias("i"))))  # the hash sorts, the words decide
         same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
 
         def positions(p):
@@ -74,80 +83,114 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def _vectors(stats: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
-    values = (F.log1p("n_words"), F.log(F.greatest("word_chars", F.lit(1)) / n), F.log1p(10 * F.col("n_symbols") / n), F.log1p("n_dup_lines"), F.col("n_repeat_words") / n)
-    return stats.select("*", *(v.alias(name) for v, name in zip(values, STATS)))
-
-
-def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds g_lang, g_source: the group that a row's estimate comes from."""
+    root = lambda x: 2 * F.sqrt(x + 0.375)
+    values = (F.log1p("n_words"), F.log(F.greatest("word_chars", F.lit(1)) / n), root(100 * F.col("n_symbols") / n), root(F.col("n_dup_lines")), root(100 * F.col("n_repeat_words") / n))
     lang, source = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    rows = rows.withColumn("g_lang", lang).withColumn("g_source", source)
-    passing = rows.where(~F.col("base_failed")).groupBy("g_lang", "g_source").agg(F.count("*").alias("n"))
-    whole = F.sum("n").over(Window.partitionBy("g_lang", F.col("n") >= least))
-    at = passing.withColumn("pool", whole).select("g_lang", "g_source", F.when(F.col("n") >= least, 0).when(F.col("pool") >= least, 1).otherwise(2).alias("level"))
-    level = F.coalesce("level", F.lit(2))
-    joined = rows.join(at, ["g_lang", "g_source"], "left")
-    return joined.withColumn("g_source", F.when(level == 0, F.col("g_source")).otherwise("*")).withColumn("g_lang", F.when(level == 2, "*").otherwise(F.col("g_lang"))).drop("level")
-
-
-def _at_share(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
-    """The lowest bin that reaches each share of a histogram (keys, bin, n)."""
-    w = Window.partitionBy(*keys)
-    cumulated = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    return cumulated.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("bin"))).alias(name) for name, share in shares.items()))
+    return stats.select("*", *(v.alias(name) for v, name in zip(values, STATS)), lang.alias("g_lang"), source.alias("g_source"))
 
 
-KEYS = ["g_lang", "g_source"]
 _P = range(len(STATS))
 _LOW = [(i, j) for i in _P for j in range(i + 1)]
+_MEANS, _COVS = [f"m{i}" for i in _P], [f"c{i}{j}" for i, j in _LOW]
+_USED = [*_MEANS, *(f"v{i}{j}" for i, j in _LOW)]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Means and inverse factors from medians and quartile ranges."""
-    out = None
-    for i, name in enumerate(STATS):
-        counts = rows.groupBy(*KEYS, F.floor(F.col(name) * 256).alias("bin")).agg(F.count("*").alias("n"))
-        q = _at_share(counts, KEYS, {"a": 0.25, "b": 0.5, "c": 0.75}).select(*KEYS, ((F.col("b") + 0.5) / 256).alias(f"m{i}"), (1 / F.greatest((F.col("c") - F.col("a")) / 256 / 1.349, F.lit(FLOORS[i]))).alias(f"v{i}{i}"))
-        out = q if out is None else out.join(q, KEYS)
-    return out.select("*", *(F.lit(0.0).alias(f"v{i}{j}") for i, j in _LOW if i != j))
+def _factored(cov: DataFrame) -> DataFrame:
+    """Adds v, the inverse of the covariance's Cholesky factor, and the logarithm of its determinant."""
+    out = []
+    for j in _P:  # each column of the factor uses those before it
+        out.append(f"sqrt(greatest(c{j}{j}{''.join(f' - l{j}{k} * l{j}{k}' for k in range(j))}, 1e-9D)) AS l{j}{j}")
+        out += [f"(c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, len(STATS))]
+    for i in _P:
+        out.append(f"1 / l{i}{i} AS v{i}{i}")
+        out += [f"-({' + '.join(f'l{i}{k} * v{k}{j}' for k in range(j, i))}) / l{i}{i} AS v{i}{j}" for j in range(i)]
+    return cov.selectExpr("*", *out, f"{' + '.join(f'2 * ln(l{i}{i})' for i in _P)} AS det")
 
 
-def _distance(row: DataFrame) -> Column:
+def _distance() -> Column:
     z = [F.col(name) - F.col(f"m{i}") for i, name in enumerate(STATS)]
     terms = [sum((F.col(f"v{i}{j}") * z[j] for j in range(1, i + 1)), F.col(f"v{i}0") * z[0]) for i in _P]
     return sum((t * t for t in terms[1:]), terms[0] * terms[0])
 
 
-def _concentrated(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
-    """One concentration step: the estimate from the `share` of rows nearest to `estimate`."""
-    near = rows.join(estimate, KEYS).select(*KEYS, *STATS, F.least(F.floor(_distance(rows) * _BIN), F.lit(_BINS)).alias("bin"))
-    limit = _at_share(near.groupBy(*KEYS, "bin").agg(F.count("*").alias("n")), KEYS, {"limit": share})
-    kept = near.join(limit, KEYS).where(F.col("bin") <= F.col("limit"))
-    sums = kept.groupBy(*KEYS).agg(F.count("*").alias("n"), *(F.avg(s).alias(f"m{i}") for i, s in enumerate(STATS)), *(F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}{j}") for i, j in _LOW))
-    cov = sums.select(*KEYS, *(f"m{i}" for i in _P), *((CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit(FLOORS[i] ** 2) if i == j else 0)).alias(f"c{i}{j}") for i, j in _LOW))
-    for j in _P:  # Cholesky factor, column by column
-        diagonal = sum((-F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.col(f"c{j}{j}"))
-        cov = cov.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diagonal, F.lit(1e-9))))
-        cov = cov.withColumns({f"l{i}{j}": sum((-F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.col(f"c{i}{j}")) / F.col(f"l{j}{j}") for i in range(j + 1, len(STATS))})
-    for i in _P:  # its inverse, row by row
-        cov = cov.withColumns({f"v{i}{j}": (1 / F.col(f"l{i}{i}")) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j + 1, i)), F.col(f"l{i}{j}") * F.col(f"v{j}{j}")) / F.col(f"l{i}{i}") for j in range(i + 1)})
-    return cov.select(*KEYS, *(f"m{i}" for i in _P), *(f"v{i}{j}" for i, j in _LOW))
-
-
-def judge(stats: DataFrame, share: float = HALF, cut: float = CUT, steps: int = STEPS, least: int = LEAST_GROUP) -> DataFrame:
-    """Adds distance (null without an estimate) and kept to a table of statistics."""
-    rows = written(_grouped(_vectors(stats), least), "vectors")
+def _quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, q0.. medians, r0.. quartile ranges in deviations), in one pass over the rows."""
+    flat = rows.select(*keys, F.posexplode(F.array(*(F.floor(F.col(s) * _FINE).cast("long") for s in STATS))).alias("i", "bin"))
+    counts = flat.groupBy(*keys, "i", "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys, "i")
+    upto = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("bin")))
+    each = upto.groupBy(*keys, "i").agg(F.max("total").alias("n"), ((at(0.5) + 0.5) / _FINE).alias("q"), ((at(0.75) - at(0.25)) / _FINE / 1.349).alias("r"))
+    return each.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for c in "qr" for i in _P))
+
+
+def _starts(rows: DataFrame, keys: list[str], quartiles: DataFrame) -> DataFrame:
+    """(keys, start, m, c): the estimates to begin with, noise included."""
+    z = [F.col(s) - F.col(f"q{i}") for i, s in enumerate(STATS)]
+    size = sum((x * x for x in z[1:]), z[0] * z[0])
+    sign = F.when(size > 0, 1 / size).otherwise(0.0)
+    sums = rows.join(quartiles, keys).groupBy(*keys).agg(*(F.avg(z[i]).alias(f"a{i}") for i in _P), *(F.avg(z[i] * z[j]).alias(f"b{i}{j}") for i, j in _LOW), *((5 * F.avg(z[i] * z[j] * sign)).alias(f"s{i}{j}") for i, j in _LOW))
+    own = quartiles.join(sums, keys)
+    noise = lambda i, j: NOISE[i] if i == j else 0.0
+    axis = [F.col(f"q{i}").alias(f"m{i}") for i in _P] + [((F.col(f"r{i}") * F.col(f"r{i}") + NOISE[i]) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _LOW]
+    spatial = [F.col(f"q{i}").alias(f"m{i}") for i in _P] + [(F.col(f"s{i}{j}") + noise(i, j)).alias(f"c{i}{j}") for i, j in _LOW]
+    every = [(F.col(f"q{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in _P] + [(F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") + noise(i, j)).alias(f"c{i}{j}") for i, j in _LOW]
+    options = F.array(*(F.struct(F.lit(k).alias("start"), *x) for k, x in enumerate((axis, spatial, every))))
+    return own.select(*keys, "n", F.explode(options).alias("e")).select(*keys, F.col("n").cast("double").alias("n"), "e.*")
+
+
+def _step(rows: DataFrame, keys: list[str], estimate: DataFrame, prior: DataFrame, by: list[str]) -> DataFrame:
+    """One concentration step of every group and start, in one pass over the rows: sums by bins of the distance."""
+    binned = rows.join(estimate.select(*keys, "start", "n", F.col("det").alias("was"), *_USED), keys).withColumn("bin", F.floor(F.log2(1 + _distance()) * _BIN))
+    moments = [F.sum(s).alias(f"x{i}") for i, s in enumerate(STATS)] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"y{i}{j}") for i, j in _LOW]
+    sums = binned.groupBy(*keys, "start", "n", "was", "bin").agg(F.count("*").cast("double").alias("k"), *moments)
+    before = F.sum("k").over(Window.partitionBy(*keys, "start").orderBy("bin")) - F.col("k")
+    part = sums.withColumn("share", F.least(F.lit(1.0), (HALF * F.col("n") - before) / F.col("k"))).where("share > 0")
+    names = [f"x{i}" for i in _P] + [f"y{i}{j}" for i, j in _LOW]
+    near = part.groupBy(*keys, "start", "n", "was").agg(F.sum(F.col("share") * F.col("k")).alias("h"), *(F.sum(F.col("share") * F.col(c)).alias(c) for c in names))
+    mean = [(F.col(f"x{i}") / F.col("h")).alias(f"o{i}") for i in _P]
+    near = near.select(*keys, "start", "n", "was", *mean, *((F.col(f"y{i}{j}") / F.col("h")).alias(f"y{i}{j}") for i, j in _LOW))
+    own = [(CONSISTENCY * (F.col(f"y{i}{j}") - F.col(f"o{i}") * F.col(f"o{j}")) + (NOISE[i] if i == j else 0.0)).alias(f"d{i}{j}") for i, j in _LOW]
+    near = near.select(*keys, "start", "n", "was", *(f"o{i}" for i in _P), *own)
+    both = near.join(prior, by) if by else near.crossJoin(prior)  # of one row
+    weigh = lambda a, b: (F.col("n") * F.col(a) + PRIOR * F.col(b)) / (F.col("n") + PRIOR)
+    return both.select(*keys, "start", "n", "was", *(weigh(f"o{i}", f"pm{i}").alias(f"m{i}") for i in _P), *(weigh(f"d{i}{j}", f"pc{i}{j}").alias(f"c{i}{j}") for i, j in _LOW))
+
+
+def _as_prior(estimate: DataFrame, by: list[str]) -> DataFrame:
+    return estimate.select(*by, *(F.col(c).alias(f"p{c}") for c in (*_MEANS, *_COVS)))
+
+
+def _estimate(rows: DataFrame, keys: list[str], prior: DataFrame, by: list[str]) -> DataFrame:
+    """(keys, n, m, c, v, det), written: every group's estimate, averaged with `prior`, of one row for each value of `by`."""
+    quartiles = written(_quartiles(rows, keys), "quartiles")
+    now = written(_factored(_starts(rows, keys, quartiles)), "estimate")
+    drop_written(quartiles)
+    for _ in range(MAX_STEPS):
+        after = written(_factored(_step(rows, keys, now, prior, by)), "estimate")
+        moved = after.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        drop_written(now)
+        now = after
+        if (moved or 0) < 1e-9:
+            break
+    best = now.groupBy(*keys).agg(F.min(F.struct(F.round("det", 9).alias("det"), "start", "n", *_USED, *_COVS)).alias("e")).select(*keys, "e.*")
+    best = written(best, "best")
+    drop_written(now)
+    return best
+
+
+def judge(stats: DataFrame) -> DataFrame:
+    """Adds distance (null where the base fails) and kept to a table of statistics."""
+    rows = written(_vectors(stats), "vectors")
     passing = rows.where(~F.col("base_failed"))
-    big = passing.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*KEYS)
-    estimate = written(_start(passing).join(big, KEYS), "estimate-0")
-    for step in range(steps):
-        after = written(_concentrated(passing, estimate, share), f"estimate-{step + 1}")
-        drop_written(estimate)
-        estimate = after
-    out = rows.join(estimate, KEYS, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(rows)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))
+    all_rows = _quartiles(passing, []).select(*(F.col(f"q{i}").alias(f"pm{i}") for i in _P), *(((F.col(f"r{i}") * F.col(f"r{i}") + NOISE[i]) if i == j else F.lit(0.0)).alias(f"pc{i}{j}") for i, j in _LOW))
+    langs = _estimate(passing, ["g_lang"], F.broadcast(written(all_rows, "all")), [])  # of one row
+    groups = _estimate(passing, ["g_lang", "g_source"], _as_prior(langs, ["g_lang"]), ["g_lang"])
+    drop_written(langs)
+    out = rows.join(groups.select("g_lang", "g_source", *_USED), ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judge(written(statistics(table(spark, sf_dir, "documents")), "statistics")).select(*names)
+    return judge(statistics(table(spark, sf_dir, "documents"))).select(*names)

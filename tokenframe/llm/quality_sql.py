@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .quality import CONSISTENCY, CUT, FLOORS, HALF, LEAST_GROUP, STATS, STEPS, _BIN, _BINS
+from .quality import CONSISTENCY, CUT, HALF, MAX_STEPS, NOISE, PRIOR, STATS, _BIN, _FINE
 
 _P = range(len(STATS))
 _LOW = [(i, j) for i in _P for j in range(i + 1)]
-_ESTIMATE = ", ".join([f"m{i}" for i in _P] + [f"v{i}{j}" for i, j in _LOW])
+_NAMES = ", ".join([f"m{i}" for i in _P] + [f"c{i}{j}" for i, j in _LOW])
 _BASE = r"""
 words AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source, coalesce(text, '') AS text,
@@ -25,52 +25,66 @@ words AS (
 ), base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats)"""
 
 
+def _noise(i: int, j: int) -> float:
+    return NOISE[i] if i == j else 0.0
+
+
 def _distance() -> str:
     terms = (" + ".join(f"v{i}{j} * ({STATS[j]} - m{j})" for j in range(i + 1)) for i in _P)
     return " + ".join(f"power({t}, 2)" for t in terms)
 
 
-def _at_share(source: str, keys: str, value: str, shares: dict[str, float]) -> str:
-    """The lowest value that reaches each share of the rows of a group."""
-    picks = ", ".join(f"min(bin) FILTER (upto >= {share} * total) AS {name}" for name, share in shares.items())
-    counts = f"SELECT {keys}, {value} AS bin, count(*) AS n FROM {source} GROUP BY {keys}, bin"
-    return f"SELECT {keys}, {picks} FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM ({counts})) GROUP BY {keys}"
-
-
-def _estimate(source: str) -> str:
-    """Mean and inverse factor from grouped moments m, p and n."""
-    cov = ", ".join(f"{CONSISTENCY} * (p{i}{j} - m{i} * m{j}) + {FLOORS[i] ** 2 if i == j else 0} AS c{i}{j}" for i, j in _LOW)
-    factor = []
+def _factored(source: str) -> str:
+    """The inverse of the Cholesky factor, and the determinant's logarithm, beside all columns."""
+    factor, inverse = [], []
     for j in _P:
         factor.append(f"sqrt(greatest(c{j}{j}{''.join(f' - l{j}{k} * l{j}{k}' for k in range(j))}, 1e-9)) AS l{j}{j}")
         factor += [f"(c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, len(STATS))]
-    inverse = []
     for i in _P:
         inverse.append(f"1 / l{i}{i} AS v{i}{i}")
         inverse += [f"-({' + '.join(f'l{i}{k} * v{k}{j}' for k in range(j, i))}) / l{i}{i} AS v{i}{j}" for j in range(i)]
-    return f"SELECT g, {_ESTIMATE} FROM (SELECT *, {', '.join(inverse)} FROM (SELECT *, {', '.join(factor)} FROM (SELECT *, {cov} FROM {source})))"
+    return f"SELECT *, {', '.join(inverse)}, {' + '.join(f'2 * ln(l{i}{i})' for i in _P)} AS det FROM (SELECT *, {', '.join(factor)} FROM ({source}))"
+
+
+def _quartiles(key: str) -> str:
+    shares = {"a": 0.25, "b": 0.5, "c": 0.75}
+    each = " UNION ALL ".join(f"SELECT {key} AS g, {i} AS i, floor({s} * {_FINE}) AS bin FROM passing" for i, s in enumerate(STATS))
+    picks = ", ".join(f"min(bin) FILTER (upto >= {share} * total) AS {name}" for name, share in shares.items())
+    at = f"SELECT g, i, max(total) AS n, {picks} FROM (SELECT *, sum(k) OVER (PARTITION BY g, i ORDER BY bin) AS upto, sum(k) OVER (PARTITION BY g, i) AS total FROM (SELECT g, i, bin, count(*) AS k FROM ({each}) GROUP BY g, i, bin)) GROUP BY g, i"
+    columns = ", ".join(f"max((b + 0.5) / {_FINE}) FILTER (i = {i}) AS q{i}, max((c - a) / {_FINE} / 1.349) FILTER (i = {i}) AS r{i}" for i in _P)
+    return f"SELECT g, max(n)::DOUBLE AS n, {columns} FROM ({at}) GROUP BY g"
+
+
+def _level(name: str, key: str, prior: str, on: str) -> list[str]:
+    """CTEs ending in `name`: the estimate of every group `key`, averaged with the prior's of the group `on`."""
+    z = [f"({s} - q{i})" for i, s in enumerate(STATS)]
+    size = f"({' + '.join(f'{x} * {x}' for x in z)})"
+    means = ", ".join(f"avg({z[i]}) AS a{i}" for i in _P)
+    products = ", ".join(f"avg({z[i]} * {z[j]}) AS b{i}{j}, 5 * avg({z[i]} * {z[j]} * CASE WHEN {size} > 0 THEN 1 / {size} ELSE 0 END) AS s{i}{j}" for i, j in _LOW)
+    start = lambda k, mean, cov: f"SELECT g, {k} AS start, n, " + ", ".join([f"{mean(i)} AS m{i}" for i in _P] + [f"{cov(i, j)} + {_noise(i, j)} AS c{i}{j}" for i, j in _LOW]) + f" FROM {name}_sums"
+    starts = " UNION ALL ".join((start(0, lambda i: f"q{i}", lambda i, j: f"r{i} * r{i}" if i == j else "0.0"), start(1, lambda i: f"q{i}", lambda i, j: f"s{i}{j}"), start(2, lambda i: f"q{i} + a{i}", lambda i, j: f"b{i}{j} - a{i} * a{j}")))
+    out = [f"{name}_q AS ({_quartiles(key)})", f"{name}_sums AS MATERIALIZED (SELECT q.*, t.* EXCLUDE (g) FROM {name}_q q JOIN (SELECT g, {means}, {products} FROM (SELECT {key} AS g, {', '.join(STATS)} FROM passing) JOIN {name}_q USING (g) GROUP BY g) t ON t.g = q.g)", f"{name}_0 AS MATERIALIZED ({_factored(starts)})"]
+    moments = ", ".join([f"sum({s}) AS x{i}" for i, s in enumerate(STATS)] + [f"sum({STATS[i]} * {STATS[j]}) AS y{i}{j}" for i, j in _LOW])
+    near = ", ".join([f"sum(share * x{i}) / sum(share * k) AS x{i}" for i in _P] + [f"sum(share * y{i}{j}) / sum(share * k) AS y{i}{j}" for i, j in _LOW])
+    weigh = lambda a, b: f"(e.n * ({a}) + {PRIOR} * {b}) / (e.n + {PRIOR})"
+    averaged = ", ".join([f"{weigh(f'x{i}', f'p.m{i}')} AS m{i}" for i in _P] + [f"{weigh(f'{CONSISTENCY} * (y{i}{j} - x{i} * x{j}) + {_noise(i, j)}', f'p.c{i}{j}')} AS c{i}{j}" for i, j in _LOW])
+    for k in range(MAX_STEPS):
+        bins = f"SELECT g, start, n, floor(log2(1 + {_distance()}) * {_BIN}) AS bin, {', '.join(STATS)} FROM (SELECT {key} AS g, {', '.join(STATS)} FROM passing) JOIN {name}_{k} USING (g)"
+        sums = f"SELECT g, start, n, bin, count(*)::DOUBLE AS k, {moments} FROM ({bins}) GROUP BY g, start, n, bin"
+        shares = f"SELECT *, least(1.0, ({HALF} * n - (sum(k) OVER (PARTITION BY g, start ORDER BY bin) - k)) / k) AS share FROM ({sums})"
+        step = f"SELECT g, start, n, {near} FROM ({shares}) WHERE share > 0 GROUP BY g, start, n"
+        out.append(f"{name}_{k + 1} AS MATERIALIZED ({_factored(f'SELECT e.g, e.start, e.n, {averaged} FROM ({step}) e JOIN {prior} p ON {on}')})")
+    out.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}_{MAX_STEPS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(det, 9), start) = 1)")
+    return out
 
 
 def sql() -> str:
-    ctes = [_BASE]
-    values = ("ln(1 + n_words)", "ln(greatest(word_chars, 1) / greatest(n_words, 1))", "ln(1 + 10 * n_symbols / greatest(n_words, 1))", "ln(1 + n_dup_lines)", "n_repeat_words / greatest(n_words, 1)")
-    ctes.append(f"""vectors AS (SELECT *, {', '.join(f'{v} AS {s}' for v, s in zip(values, STATS))} FROM base),
-groups AS (SELECT lang, source, count(*) AS n FROM base WHERE NOT base_failed GROUP BY lang, source),
-pools AS (SELECT *, sum(n) OVER (PARTITION BY lang, n >= {LEAST_GROUP}) AS pool FROM groups),
-rows_ AS (
-  SELECT v.*, CASE WHEN p.n >= {LEAST_GROUP} THEN [v.lang, v.source] WHEN p.pool >= {LEAST_GROUP} THEN [v.lang, '*'] ELSE ['*', '*'] END AS g
-  FROM vectors v LEFT JOIN pools p ON p.lang = v.lang AND p.source = v.source
-),
-passing AS (SELECT * FROM rows_ WHERE NOT base_failed AND g IN (SELECT g FROM rows_ WHERE NOT base_failed GROUP BY g HAVING count(*) >= {LEAST_GROUP}))""")
-    for i, s in enumerate(STATS):
-        ctes.append(f"q{i} AS ({_at_share('passing', 'g', f'floor({s} * 256)', {'a': 0.25, 'b': 0.5, 'c': 0.75})})")
-    start = [f"(q{i}.b + 0.5) / 256 AS m{i}" for i in _P] + [f"1 / greatest((q{i}.c - q{i}.a) / 256 / 1.349, {FLOORS[i]}) AS v{i}{i}" if i == j else f"0.0 AS v{i}{j}" for i, j in _LOW]
-    ctes.append(f"e0 AS (SELECT q0.g, {', '.join(start)} FROM q0 {' '.join(f'JOIN q{i} ON q{i}.g = q0.g' for i in _P if i)})")
-    for k in range(STEPS):
-        moments = ", ".join([f"avg({s}) AS m{i}" for i, s in enumerate(STATS)] + [f"avg({STATS[i]} * {STATS[j]}) AS p{i}{j}" for i, j in _LOW])
-        ctes.append(f"near{k} AS MATERIALIZED (SELECT p.g, {', '.join('p.' + s for s in STATS)}, least(floor(({_distance()}) * {_BIN}), {_BINS}) AS cell FROM passing p JOIN e{k} e ON e.g = p.g)")
-        ctes.append(f"limit{k} AS ({_at_share(f'near{k}', 'g', 'cell', {'top': HALF})})")
-        ctes.append(f"moments{k} AS (SELECT n.g, {moments} FROM near{k} n JOIN limit{k} l ON l.g = n.g WHERE n.cell <= l.top GROUP BY n.g)")
-        ctes.append(f"e{k + 1} AS MATERIALIZED ({_estimate(f'moments{k}')})")
+    root = "2 * sqrt({} + 0.375)".format
+    values = ("ln(1 + n_words)", "ln(greatest(word_chars, 1) / greatest(n_words, 1))", root("100 * n_symbols / greatest(n_words, 1)"), root("n_dup_lines"), root("100 * n_repeat_words / greatest(n_words, 1)"))
+    ctes = [_BASE, f"rows_ AS MATERIALIZED (SELECT *, {', '.join(f'{v} AS {s}' for v, s in zip(values, STATS))} FROM base)", "passing AS (SELECT * FROM rows_ WHERE NOT base_failed)"]
+    every = ", ".join([f"q{i} AS m{i}" for i in _P] + [f"{f'r{i} * r{i}' if i == j else '0.0'} + {_noise(i, j)} AS c{i}{j}" for i, j in _LOW])
+    ctes.append(f"every_ AS MATERIALIZED (SELECT g, {every} FROM ({_quartiles('[0]')}))")
+    ctes += _level("langs", "[lang]", "every_", "true")
+    ctes += _level("groups_", "[lang, source]", "langs", "p.g = e.g[1:1]")
     kept = f"NOT base_failed AND coalesce({_distance()}, 0) <= {CUT}"
-    return f"WITH {', '.join(ctes)}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {kept} AS kept FROM rows_ r LEFT JOIN e{STEPS} e ON e.g = r.g"
+    return f"WITH {', '.join(ctes)}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {kept} AS kept FROM rows_ r LEFT JOIN groups_ e ON e.g = [r.lang, r.source]"
