@@ -313,7 +313,33 @@ def test_small_groups_and_one_row_have_estimates(spark):
 
 @pytest.fixture(scope="module")
 def forest():
-    return html_extract.fit()
+    return html_extract.forest()
+
+
+def test_the_shipped_trees_are_those_that_the_generator_gives(forest):
+    import json
+
+    pages = html_extract.written_pages()
+    assert json.loads(html_extract.MODEL.read_text())["pages"] == html_extract.digest(pages)
+    few = html_extract.fit(pages[:60])
+    assert few.feature.shape == forest.feature.shape
+
+
+def test_only_what_is_never_shown_is_left_out():
+    read = lambda s: [t for t in dom.Page(s).text if t is not None]
+    assert read("<p>Let <math>x=5</math> be the value</p>") == ["Let x=5 be the value"]
+    assert read("<p>a <svg><title>no</title><path d='M0'/><text>b</text></svg> c<svg/> d</p>") == ["a b c d"]
+    assert read("<p>Pick <select><option>a<option>b<p>second</p><p>third</p>") == ["Pick", "a", "b", "second", "third"]
+    assert read("<script src=/js/>code</script><p>x</p>") == ["x"] and read("<style/>p{}</style><p>x</p>") == ["x"]
+    assert read("<noscript><p>a</p></noscript><object>b</object><xmp><b>&amp;</xmp><textarea>&lt;c</textarea><template>no</template>") == ["a", "b", "<b>&amp;", "<c"]
+
+
+def test_articles_keep_formulas_and_text_after_unclosed_fields(forest):
+    body = lambda x: f"<html><body><nav><a href=/>Home</a><a href=/b>More</a></nav><article><h1>On values</h1><p>Let <math>x=5</math> be the value that we want to look at, for a while.</p>{x}<p>And this is the second paragraph of the text, which is also part of it.</p></article><footer>&copy; us</footer></body></html>"
+    first, last = "Let x=5 be the value that we want to look at, for a while.", "And this is the second paragraph of the text, which is also part of it."
+    for x in ("", "<script src=/js/>code()</script>", "<select><option>a<option>b"):
+        text = html_extract.extract(forest, [body(x)])[0]
+        assert first in text and last in text and "code()" not in text and "Home" not in text
 
 
 def test_extraction_of_generated_pages(forest):

@@ -11,13 +11,18 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label|data-role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 _LABEL = re.compile(r"data-y=\"([01])\"")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.!?;:,]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp select svg math template object noscript".split())
+#: Elements whose content isn't markup, and is never shown; a template's is markup that isn't shown.
+RAW = frozenset("script style title iframe noembed noframes template".split())
+#: Elements whose content is shown as it is written: the first as typed, the second with references decoded.
+PLAIN = {"xmp": False, "textarea": True}
+FOREIGN, UNSHOWN = frozenset(("svg", "math")), frozenset("title desc metadata annotation annotation-xml style script".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img map picture source".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img map picture source svg math".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -26,7 +31,7 @@ _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 _SIBLINGS = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _SIBLINGS.items()}
 
 #: Groups of tags and of attribute words; each is a bit of a node's mask.
-TAGS = ["article main", "section", "div center", "p", "h1 h2 h3 h4 h5 h6 hgroup", "ul ol dl menu dir", "li dt dd", "nav", "header", "footer address", "aside", "form fieldset", "table tbody thead tfoot tr", "td th caption", "blockquote pre", "figure figcaption", "button legend dialog details summary", "#text", "body html", "head"]
+TAGS = ["article main", "section", "div center", "p", "h1 h2 h3 h4 h5 h6 hgroup", "ul ol dl menu dir", "li dt dd", "nav", "header", "footer address", "aside", "form fieldset select optgroup option textarea", "table tbody thead tfoot tr", "td th caption", "blockquote pre", "figure figcaption", "button legend dialog details summary", "#text", "body html", "head", "noscript object", "xmp"]
 TOKENS = [
     "article articles post entry story news blog", "content contents maincontent text body copy prose main", "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc tabs", "sidebar side aside rail column complementary", "footer foot bottom copyright legal colophon contentinfo",
     "header head masthead banner top topbar logo branding", "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion dfp adsense", "comment comments commentlist disqus reply replies respond discussion reader readers", "cookie cookies consent notice notices alert gdpr popup modal overlay warning message", "share sharing social follow facebook twitter",
@@ -93,7 +98,7 @@ class Page:
                     linked[0] += len(data)
 
         def pop_to(depth: int) -> None:
-            if any(tag not in INLINE for tag, _ in stack[depth:]):
+            if any(tag not in INLINE and (tag in _TAG_BIT or "-" in tag) for tag, _ in stack[depth:]):
                 flush()
             for tag, _ in stack[depth:]:
                 open_tags[tag] -= 1
@@ -127,11 +132,21 @@ class Page:
                 elif name == "p":
                     flush()
                 continue
-            if name in RAW:
-                if not attributes.endswith("/"):
-                    end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(source, at)
-                    close = source.find(">", end.end()) if end else -1
-                    at = close + 1 if close >= 0 else n
+            foreign = any(open_tags.get(f) for f in FOREIGN)
+            if (foreign or name in FOREIGN) and attributes.endswith("/") and not _UNQUOTED.search(attributes):
+                continue  # only in these may a tag close itself
+            if name in RAW or name in PLAIN or foreign and name in UNSHOWN:
+                end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(source, at)
+                inner, close = source[at : end.start() if end else n], source.find(">", end.end()) if end else -1
+                at = close + 1 if close >= 0 else n
+                if name in PLAIN:
+                    flush()
+                    owner = stack[-1][1]
+                    node = self._node(owner, _TAG_BIT[name] | (_mask(attributes) if attributes else 0), self.label[owner])
+                    stack.append((name, node))
+                    pieces.append(html.unescape(inner) if PLAIN[name] and "&" in inner else inner)
+                    flush()
+                    stack.pop()
                 continue
             if name in VOID:
                 if name == "br" or name in INLINE:
@@ -146,6 +161,8 @@ class Page:
                 open_tags[name] = open_tags.get(name, 0) + 1
                 continue
             flush()
+            if name in CLOSES_P and open_tags.get("select") and (depth := find(("select",), nowhere)):
+                pop_to(depth)  # blocks can't be in a list of options: it wasn't closed
             if name in ("html", "body") and open_tags.get(name):
                 continue
             if name in CLOSES_P and open_tags.get("p") and (depth := find(("p",), ("button", "td", "th", "caption", "table", "object"))):

@@ -6,18 +6,26 @@ sibling statistics. Decoding picks the labelling with the highest total odds amo
 kept only if its parent is, so an ancestor and a descendant never contradict each other.
 
 No table has labelled pages, so the trees are fitted in numpy on PAGES pages that a seeded generator writes
-in many layouts, with semantic tags or with classes only.
+in many layouts, with semantic tags or with classes only. They depend on no table: forest.json has them as
+`python -m tokenframe.llm.html_extract` fits them, with a digest of the generator's pages that tests compare.
+
+Scripts, styles, titles, templates, frames' fallbacks and the descriptions in drawings and formulas are never shown
+and give no text. All else goes to the trees: formulas, drawings' texts, fallbacks of objects and scripts, form fields.
 
 Null and empty pages, and pages without main text, give the empty string. Truncated tags are dropped,
-unclosed elements end where HTML ends them. Null page_ids and urls are kept; repeated rows stay; columns
-other than page_id, url and html are ignored. Pages are read whole.
+unclosed elements end where HTML ends them, and an unclosed list of options before the next block. Null page_ids and
+urls are kept; repeated rows stay; an empty table gives no rows; columns other than page_id, url and html, whatever
+their names, are ignored. Very long pages are read whole. Ties don't occur.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +120,15 @@ def _article(r: random.Random) -> list[str]:
         kind, short = r.random(), r.random() < 0.2
         if kind < 0.75:
             text = _words(r, 1, 4) if short else _words(r, 5, 120)
+            if r.random() < 0.05:
+                text += r.choice((" <math><mi>{0}</mi><mo>=</mo><mn>5</mn></math> {1}", " <svg><path d='M0 0'/><text>{0}</text></svg> {1}")).format(_words(r, 1, 1), _words(r, 1, 9))
             if r.random() < 0.2:
                 text += f' <a href="/x">{_words(r, 1, 3)}</a> {_words(r, 1, 20)}'
             out.append(f'<p data-y="1">{"<b>" if r.random() < 0.15 else ""}{text}{"<br>" if r.random() < 0.1 else ""}{"</p>" if r.random() < 0.8 else ""}')
         elif kind < 0.85:
             out.append(f'<h2 data-y="1">{_words(r, 1, 6)}</h2>')
+        elif kind < 0.87:
+            out.append(r.choice(('<noscript data-y="1"><p>{}</p></noscript>', '<object data-y="1"><p>{}</p></object>', '<div data-y="1"><xmp>{}</xmp></div>')).format(_words(r, 4, 30)))
         elif kind < 0.92:
             out.append('<ul data-y="1">' + "".join(f"<li>{_words(r, 1, 15)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
         elif kind < 0.96:
@@ -130,6 +142,10 @@ def _links(r: random.Random, least: int, most: int) -> str:
     return "<ul>" + "".join(f'<li><a href="/{i}">{_words(r, 1, 3)}</a></li>' for i in range(r.randint(least, most))) + "</ul>"
 
 
+def _field(r: random.Random) -> str:
+    return r.choice(("", "", "<textarea>" + _words(r, 1, 6) + "</textarea>", "<select>" + "".join(f"<option>{_words(r, 1, 2)}" for _ in range(r.randint(2, 5))) + "</select>"))
+
+
 def _other(r: random.Random, kind: str) -> str:
     """Markup around the main text, marked as not it."""
     tag, name = {
@@ -148,7 +164,7 @@ def _other(r: random.Random, kind: str) -> str:
         "nav": lambda: _links(r, 2, 9), "header": lambda: r.choice((f"<p>{_words(r, 1, 6)}</p>", f"<h2>{_words(r, 1, 4)}</h2>" + _links(r, 2, 6), f'<a href="/">{_words(r, 1, 3)}</a>')), "ad": lambda: r.choice((_words(r, 2, 20), f"<p>{_words(r, 3, 30)}</p>", f'<a href="/ad">{_words(r, 2, 9)}</a>')),
         "sidebar": lambda: f"<h3>{_words(r, 1, 3)}</h3>" + r.choice((_links(r, 2, 7), f"<p>{_words(r, 5, 50)}</p>")), "footer": lambda: r.choice((f"&copy; {_words(r, 1, 12)}", f"<p>&copy; {_words(r, 2, 20)}</p>", _links(r, 2, 5) + f"<p>{_words(r, 3, 20)}</p>")),
         "comments": lambda: f"<h3>{_words(r, 1, 2)}</h3>" + "".join(f'<div class="{r.choice(("comment", "reply", "c-item"))}"><p>{_words(r, 1, 3)}</p><p>{_words(r, 3, 80)}</p></div>' for _ in range(r.randint(1, 6))), "notice": lambda: f"<p>{_words(r, 5, 30)}</p><button>{_words(r, 1, 2)}</button>",
-        "form": lambda: f"<label>{_words(r, 1, 4)}</label><input name=q><button>{_words(r, 1, 2)}</button><p>{_words(r, 2, 12)}</p>", "related": lambda: f"<h3>{_words(r, 1, 3)}</h3>" + r.choice((_links(r, 2, 6), "".join(f'<p><a href="/r">{_words(r, 3, 12)}</a></p>' for _ in range(3)))), "share": lambda: _links(r, 2, 5),
+        "form": lambda: f"<label>{_words(r, 1, 4)}</label><input name=q><button>{_words(r, 1, 2)}</button><p>{_words(r, 2, 12)}</p>" + _field(r), "related": lambda: f"<h3>{_words(r, 1, 3)}</h3>" + r.choice((_links(r, 2, 6), "".join(f'<p><a href="/r">{_words(r, 3, 12)}</a></p>' for _ in range(3)))), "share": lambda: _links(r, 2, 5),
     }[kind]()
     attribute = f' {r.choice(("class", "id"))}="{name}"' if name else ""
     return f'<{tag}{attribute} data-y="0">{inner}</{tag}>'
@@ -175,14 +191,38 @@ def written_page(r: random.Random) -> str:
     return f'<!DOCTYPE html><html><head><title>{_words(r, 1, 5)}</title></head><body data-y="1">' + "".join(head) + body + "".join(tail) + "</body></html>"
 
 
-@lru_cache(maxsize=1)
-def fit(pages: int = PAGES, seed: int = 5) -> Forest:
-    """The trees; they depend on no table, so a session fits them once."""
+MODEL = Path(__file__).with_name("forest.json")
+
+
+def written_pages(pages: int = PAGES, seed: int = 5) -> list[str]:
     r = random.Random(seed)
-    read = [Page(written_page(r)) for _ in range(pages)]
+    return [written_page(r) for _ in range(pages)]
+
+
+def digest(pages: list[str]) -> str:
+    return hashlib.sha256("\0".join([str(FEATURES), str(TREES), *pages]).encode()).hexdigest()
+
+
+def fit(pages: list[str] | None = None) -> Forest:
+    """The trees, fitted to generated pages."""
+    read = [Page(p) for p in (written_pages() if pages is None else pages)]
     return boost(np.concatenate([p.features()[1:] for p in read]), np.concatenate([p.label[1:] for p in read]).astype(np.float64))
 
 
+def save() -> None:
+    """Fit the trees and write them to forest.json."""
+    pages = written_pages()
+    f = fit(pages)
+    MODEL.write_text(json.dumps({"pages": digest(pages), "base": f.base, "feature": f.feature.tolist(), "limit": [[None if np.isinf(x) else float(x) for x in t] for t in f.limit], "value": [[float(f"{x:.9g}") for x in t] for t in f.value]}))
+
+
+@lru_cache(maxsize=1)
+def forest() -> Forest:
+    """The fitted trees of forest.json."""
+    x = json.loads(MODEL.read_text())
+    return Forest(np.array(x["feature"]), np.array([[np.inf if v is None else v for v in t] for t in x["limit"]], np.float32), np.array(x["value"]), x["base"])
+
+
 def extract(forest: Forest, sources: list[str | None]) -> list[str]:
     """The main text of each page."""
     out: list[str] = []
@@ -208,9 +248,9 @@ def extract(forest: Forest, sources: list[str | None]) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
+def main_text(pages: DataFrame, own: Forest | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages` (page_id, url, html)."""
-    sent = ship(pages.sparkSession).sparkContext.broadcast(forest or fit())
+    sent = ship(pages.sparkSession).sparkContext.broadcast(own or forest())
 
     def run(batches):
         for batch in batches:
@@ -224,3 +264,7 @@ def main_text(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+if __name__ == "__main__":
+    save()
