@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -142,6 +143,43 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert toxicity.score(odd.limit(0), toxicity.train(odd.limit(0), labels.limit(0)), F.col("doc_id")).count() == 0
 
 
+def words_by_hand(text):
+    return regex.findall(r"\p{L}+", (text or "").lower())
+
+
+def buckets_by_hand(word, least, most, bits):
+    raw, out = f"<{word}>".encode(), []
+    for size in range(least, most + 1):
+        for i in range(len(raw) - size + 1):
+            h = 0
+            for b in raw[i : i + size]:
+                h = (h * 1_000_003 + b + 1) % 2**64
+            out.append(((h ^ h >> 29) * 0x9E3779B97F4A7C15) % 2**64 >> (64 - bits))
+    return out
+
+
+def word_by_hand(weights, word, least, most, bits):
+    own = buckets_by_hand(word, least, most, bits)
+    return sum(float(weights[b]) for b in own) / max(1, len(own))
+
+
+def some_texts(spark):
+    texts = [r["text"] for r in table(spark, "documents", SMALL).orderBy("doc_id").collect() if len(r["text"]) < 4000][:60]
+    return texts + [None, "", "1 2 3", "word", "one two", "Ümläut ÉÑ", "a1b2c3"]
+
+
+@needs_tables
+def test_toxicity_scores_equal_one_text_at_a_time(spark):
+    model = toxicity.train(table(spark, "documents"), table(spark, "labels"))
+    texts = some_texts(spark)
+    for text, got in zip(texts, model.scores(pa.array(texts, pa.string()))):
+        ws = [word_by_hand(model.gram, w, toxicity.LEAST, toxicity.MOST, toxicity.BITS) for w in words_by_hand(text)]
+        size = min(toxicity.WINDOW, len(ws))
+        means = [sum(ws[i : i + size]) / size for i in range(len(ws) - size + 1)] if ws else [0.0]
+        logits = (0.0, model.slopes[0] * (max(means) + model.bias) + model.slopes[1] * np.log(len(means)) + model.shift)
+        assert abs(got - np.exp(logits[1]) / sum(np.exp(logits))) < 1e-6
+
+
 # 3
 
 
@@ -589,6 +627,29 @@ def test_languages_of_odd_rows(spark, odd):
     assert langid.family_of("en-GB") == "germanic" and langid.family_of("tlh") == "tlh"
 
 
+@needs_tables
+def test_languages_equal_one_text_at_a_time(spark):
+    model, texts = langid.train(table(spark, "documents")), some_texts(spark)
+    columns = model.weights.shape[1]
+    for text, lang, score in zip(texts, *model.predict(pa.array(texts, pa.string()))):
+        ws = words_by_hand(text)
+        if not ws:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        margin = [sum(word_by_hand(model.weights[:-1, j], w, langid.LEAST, langid.MOST, langid.BITS) for w in ws) / len(ws) + float(model.weights[-1, j]) for j in range(columns)]
+        ranked = sorted(range(len(model.families)), key=lambda f: -margin[f]) if len(model.families) > 1 else [0]
+        family, sure = ranked[0], [margin[ranked[0]] - margin[ranked[1]]] if len(model.families) > 1 else []
+        names = model.members[family]
+        wins = [sum((margin[j] > 0) == (a == k) for a, b, j in model.pairs[family] if k in (a, b)) for k in range(len(names))]
+        gains = [sum(margin[j] if a == k else -margin[j] for a, b, j in model.pairs[family] if k in (a, b)) for k in range(len(names))]
+        won = max(range(len(names)), key=lambda k: (wins[k], gains[k]))
+        sure += [2 * (margin[j] if a == won else -margin[j]) for a, b, j in model.pairs[family] if won in (a, b)]
+        at = sum(map(len, model.members[:family])) + won
+        mean, between, within = model.likeness[at]
+        sure.append((margin[columns - len(model.likeness) + at] - mean) / np.sqrt(between + within / len(ws)) + langid.DEVIATIONS)
+        assert lang == names[won] and abs(score - 1 / (1 + np.exp(-2 * np.clip(min(sure), -15, 15)))) < 1e-4
+
+
 def test_three_close_languages():
     r = random.Random(6)
     text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(60))

@@ -10,7 +10,8 @@ A merge may only be applied everywhere at once if it can't create a pair of a lo
 is checked for every vocabulary when it is loaded, and a vocabulary that fails is merged one position at a time.
 
 Null and empty texts have no ids; decoding no ids gives the empty text. Null doc_ids and repeated rows keep
-a row each. Columns other than doc_id and text are ignored. Very long texts and words are encoded whole.
+a row each; an empty table gives none. Ties of rank go to the leftmost pair. Columns other than doc_id and text, whatever
+their names, are ignored. Very long texts and words are encoded whole.
 """
 
 from __future__ import annotations

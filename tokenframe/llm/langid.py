@@ -10,7 +10,8 @@ Fitting takes a sample of every language, bounded per language: up to TRAIN_ROWS
 languages on, one at least), texts of up to TRAIN_CHARS characters, or the beginnings of longer texts where a
 language has no others; prediction reads whole texts. Texts that are null or have no letter get `und`
 and score 0. Rows with a null lang or doc_id teach nothing; with no learned language every text gets `und`
-and score 0. Repeated rows keep a row each. Columns other than doc_id and text are never read for a prediction.
+and score 0. Repeated rows keep a row each, an empty table gives none.
+Ties go to the family, and the language, that is first by name. Columns other than doc_id and text are never read for a prediction.
 
 The score is the least chance, by a logistic function of the margins, among the decisions taken. It is below
 0.5 where votes go in a circle, and where a text isn't like its language: its mean log frequency of n-grams
@@ -230,7 +231,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of a predicted language, with all their columns; `und` and unsure ones go."""
+    """Pipeline stage: the documents of a predicted language, with all their columns; `und` and unsure ones go.
+
+    So null, empty and letterless texts go; very long ones are read whole; repeated rows and null ids stay as they are; ties
+    go as in the operator; an empty table stays empty. Columns keep their names, whatever they are.
+    """
     sent = ship(spark).sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
 

@@ -9,7 +9,8 @@ buckets, so a length that a third of all pieces have is ranked in many tasks.
 
 Null and empty texts are one closing token. Documents longer than a sequence are cut from the end into whole
 sequences, so only their first piece may be shorter. Null doc_ids and repeated rows are packed like any other
-row. Columns other than doc_id and text are ignored. No rows give no rows.
+row; very long texts are cut whole, and pieces of equal length, which tie, may take each other's place. Columns other than
+doc_id and text, whatever their names, are ignored. No rows give no rows.
 """
 
 from __future__ import annotations

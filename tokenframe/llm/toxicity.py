@@ -3,16 +3,20 @@
 Method: a word is the mean of the embeddings of its hashed character n-grams, a window of words the mean of
 its words, and a softmax over two classes reads that mean; embeddings and softmax are trained together by
 Adagrad. Unseen misspellings share n-gram vectors with what was seen. A long document's mean would drown a
-few words, so a document is scored by its most toxic window of WINDOW words: training starts from
-whole-document means and goes on with each document's most toxic window; a logistic fit, on every fifth
-sample row that training left out, maps that window's logit and the number of windows to the score. As the model is linear, scoring needs one number per n-gram, and each distinct word of a
-chunk is scored once.
+few words, so a document is represented by its most toxic window of WINDOW words (windows overlap, at every word
+one begins): training starts from whole-document means and goes on with each document's most toxic window. The score
+is the softmax's second output. Its inputs are that window's mean and, as more windows give chance more to pick
+from, the logarithm of their number; with the embeddings settled, its last scale, the weight of the number and its
+bias are fitted once more, on every fifth sample row, which training left out. As the model is linear, scoring needs
+one number per n-gram, and each distinct word of a chunk is scored once.
+
+Settings were chosen by cross-validation within the rows that may be learned from (see the README).
 
 Fitting takes a bounded sample: up to TRAIN_ROWS labelled rows, by hash and half of each label where there are as many, of texts
 of up to TRAIN_CHARS characters. Scoring reads whole texts. Null and empty texts are scored as a window
 without words. Rows without a label, or with a null one, teach nothing; without two classes of labels the score is
-the share of label 1. Null doc_ids are never learned from; repeated rows keep a row each. Columns other than
-doc_id and text are never read for a score.
+the share of label 1. Null doc_ids are never learned from; repeated rows keep a row each. Windows that tie are alike;
+an empty table gives no rows. Columns other than doc_id and text, whatever their names, are never read for a score.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import hash_share, segment_sums, ship, table, text_chunks
+from .common import hash_share, ranges, segment_sums, ship, table, text_chunks
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 12_000
-WINDOW, DIM, BITS = 2, 4, 18
+WINDOW, DIM, BITS = 1, 4, 18
 LEAST, MOST, LEAST_SEEN = 3, 6, 3
 #: One sample row in so many is kept from training and fits the score instead.
 CHECKED = 5
@@ -39,17 +43,19 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def windows(counts: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each window, its divisor, windows of each text): consecutive windows, one at least a text."""
-    each = np.maximum(1, -(-counts // size))
-    last = np.cumsum(each) - 1
-    sizes = np.full(int(each.sum()), size, np.int64)
-    sizes[last] = counts - (each - 1) * size
-    return sizes, np.repeat(np.maximum(1, np.minimum(size, counts)), each).astype(np.float64), each
+    """(first word of each window, its words, windows of each text): one begins at every word that leaves room, one at least a text."""
+    each = np.maximum(1, counts - size + 1)
+    return ranges(np.cumsum(counts) - counts, each), np.repeat(np.minimum(size, counts), each), each
+
+
+def window_means(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    upto = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
+    return (upto[first + sizes] - upto[first]) / np.maximum(1, sizes)
 
 
 @dataclass
 class Model:
-    """What scoring needs: a logit for each n-gram bucket, the bias, and the logistic fit of a text's features."""
+    """What scoring needs: the softmax's difference of logits for each n-gram bucket, its bias, scales and last bias."""
 
     gram: np.ndarray
     bias: float
@@ -61,12 +67,13 @@ class Model:
         distinct, index, counts = words.split(texts)
         buckets, grams = words.ngrams(distinct, LEAST, MOST, BITS)
         of_word = segment_sums(self.gram[buckets], grams) / np.maximum(1, grams)
-        sizes, divisor, each = windows(counts)
-        logit = segment_sums(of_word[index], sizes) / divisor + self.bias
+        first, sizes, each = windows(counts)
+        logit = window_means(of_word[index], first, sizes) + self.bias
         best = np.maximum.reduceat(logit, np.cumsum(each) - each) if len(each) else logit
         return np.stack((best, np.log(each)), axis=1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        """The softmax's second output; of two classes, it depends on the difference of their logits."""
         return _sigmoid(self.features(texts) @ self.slopes + self.shift)
 
 
@@ -129,31 +136,31 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 8, rounds: int = 6, r
         checked[:] = False
     for _ in range(epochs):
         net.epoch(index, counts, np.maximum(1, counts).astype(np.float64), labels, rate, ~checked)
-    sizes, divisor, each = windows(counts)
-    starts, first = np.cumsum(sizes) - sizes, np.cumsum(each) - each
+    begins, sizes, each = windows(counts)
+    first = np.cumsum(each) - each
 
     def top():
         gram, bias = net.gram_logits()
-        logit = segment_sums((segment_sums(gram[net.buckets], net.runs) / net.grams)[index], sizes) / divisor + bias
+        logit = window_means((segment_sums(gram[net.buckets], net.runs) / net.grams)[index], begins, sizes) + bias
         best = np.maximum.reduceat(logit, first)
         order = np.lexsort((-logit, np.repeat(np.arange(len(each)), each)))
         return best, order[first]
 
     for _ in range(rounds):
         _, chosen = top()
-        at = np.repeat(starts[chosen] - (np.cumsum(sizes[chosen]) - sizes[chosen]), sizes[chosen]) + np.arange(int(sizes[chosen].sum()))
+        at = ranges(begins[chosen], sizes[chosen])
         for _ in range(round_epochs):
-            net.epoch(index[at], sizes[chosen], divisor[chosen], labels, rate / 2, ~checked)
+            net.epoch(index[at], sizes[chosen], np.maximum(1.0, sizes[chosen]), labels, rate / 2, ~checked)
     x = np.stack((top()[0], np.log(each)), axis=1)
     if checked.any():
         x, labels = x[checked], labels[checked]
     gram, bias = net.gram_logits()
-    slopes, shift = _logistic(x, labels)
+    slopes, shift = _last_layer(x, labels)
     return Model(gram.astype(np.float32), bias, slopes, shift)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, held_back: float = 0.05) -> tuple[np.ndarray, float]:
-    """Slopes and shift of a logistic fit by Newton steps; long texts have more windows for chance to pick from."""
+def _last_layer(x: np.ndarray, y: np.ndarray, held_back: float = 0.05) -> tuple[np.ndarray, float]:
+    """The softmax's scales of its two inputs and its bias, by Newton steps."""
     mean, spread = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
     z = np.concatenate(((x - mean) / spread, np.ones((len(x), 1))), axis=1)
     share = float(y.mean())
@@ -205,7 +212,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that aren't predicted toxic, with all their columns."""
+    """Pipeline stage: the documents that aren't predicted toxic (a score below 0.5), with all their columns.
+
+    Null and empty texts are scored as a window without words; very long ones are read whole; repeated rows and null ids
+    stay as they are; an empty table stays empty, and without labels all rows stay. Columns keep their names.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     sent = ship(spark).sparkContext.broadcast(model)
     at = docs.columns.index("text")
