@@ -15,7 +15,7 @@ the medians and quartile ranges of all rows; so a group of any size has an estim
 language's. Nothing here was set by labels.
 
 All steps are grouped sums over bounded histograms, so a source with a third of all rows is summed in partial
-aggregates; nothing is collected. Repeated three-word windows are found by their words.
+aggregates; nothing is collected. Three-word windows are compared by 64-bit hashes.
 
 Null and empty texts have no words and fail the base; very long texts are read whole. Null languages and sources are
 groups of their own. Null doc_ids and repeated rows keep a row each; equal distances fall in one bin and are kept in
@@ -52,8 +52,7 @@ def _repeat_words(words: Column) -> Column:
     three = F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(hashes):
-        window = lambda h, i: F.struct(h.alias("x"), F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"))
-        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(window(h, i).alias("h"), i.alias("i"))))  # the hash sorts, the words decide
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
 
         def positions(p):
@@ -181,7 +180,9 @@ def _estimate(rows: DataFrame, keys: list[str], prior: DataFrame, by: list[str])
 
 def judge(stats: DataFrame) -> DataFrame:
     """Adds distance (null where the base fails) and kept to a table of statistics."""
-    rows = written(_vectors(stats), "vectors")
+    counted = written(stats, "statistics")  # else each use of a statistic would compute it again
+    rows = written(_vectors(counted), "vectors")
+    drop_written(counted)
     passing = rows.where(~F.col("base_failed"))
     all_rows = _quartiles(passing, []).select(*(F.col(f"q{i}").alias(f"pm{i}") for i in _P), *(((F.col(f"r{i}") * F.col(f"r{i}") + NOISE[i]) if i == j else F.lit(0.0)).alias(f"pc{i}{j}") for i, j in _LOW))
     langs = _estimate(passing, ["g_lang"], F.broadcast(written(all_rows, "all")), [])  # of one row
