@@ -405,3 +405,34 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     own = session.written(spark.range(3), "x")
     assert own.count() == 3
     session.drop_written(own)
+
+
+def test_remembered_pieces_are_bounded_by_their_bytes(monkeypatch):
+    import pyarrow as pa
+    from tokenframe.operators import merge
+
+    own, r = Merger(toy_pieces()), random.Random(5)
+    monkeypatch.setattr(merge, "KEPT", 20_000)
+    for _ in range(60):
+        own.lists(pa.array([["".join(r.choices("abcde▁", k=1000))]]))
+        assert sum(map(len, own.known)) < 40_000
+
+
+def test_sentence_pieces_are_cut_only_where_no_merge_crosses(spark):
+    spec_texts = ["a  the  ", "  ", " x  and\n\n the", "> the >  </a> <", "the" * 900, "é the 日 and"]
+    vocab = toy_pieces()
+    own, literal = Merger(vocab), literal_pattern(vocab)
+    df = spark.createDataFrame(list(enumerate(spec_texts)) + [(9, None)], "doc_id long, text string")
+    got = dict(encode(df, vocab).select("doc_id", "ids").collect())
+    assert [got[i] for i in range(len(spec_texts))] == [bytes_ids(own, literal, t.encode()) for t in spec_texts] and got[9] is None
+    tags = Merger(vocab)
+    tags.tags = True
+    assert tags.words("a> </b> c >") == ["a>▁</b>▁c", "▁>"] and own.words("a> </b> c >") == ["a>", "▁</b>", "▁c", "▁>"]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    from tokenframe.session import BATCH
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), vocabulary())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..memory import trim
 from ..session import drop_written, read_parquet, ship, written
 
-try:
-    _libc = ctypes.CDLL("libc.so.6")
-except OSError:  # another C library, which needs no trimming
-    _libc = None
-
-__all__ = ["drop_written", "ship", "written"]
+__all__ = ["drop_written", "ship", "trim", "written"]
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
 CHUNK_BYTES = 4 << 20
 
@@ -26,13 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
-def trim() -> None:
-    """Give freed memory back to the system; allocators keep the room of the largest batch otherwise."""
-    pa.default_memory_pool().release_unused()
-    if _libc is not None:
-        _libc.malloc_trim(0)
-
-
 def text_chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES):
     """Yield (first, last) row bounds so that each slice holds about max_bytes of text, one row at least."""
     if isinstance(texts, pa.ChunkedArray):

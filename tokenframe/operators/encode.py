@@ -56,11 +56,25 @@ def merged(vocab: Vocabulary, pieces: Column, spark) -> Column:
     return merge(pieces)
 
 
+def _pieces(vocab: Vocabulary, text: Column, spark) -> Column:
+    """Texts to arrays of ids under a sentence-piece vocabulary."""
+    sent, pattern = Sent(ship(spark), vocab), literal_pattern(vocab)
+    compiled = re.compile(f"({pattern})") if pattern else None
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return merger(sent).texts(texts, compiled)
+
+    return run(text)
+
+
 _engines: dict[str, library.Engine] = {}
 
 
 def ids_of(vocab: Vocabulary, text: Column, spark) -> Column:
     """Texts to arrays of ids."""
+    if vocab.sentence_piece:
+        return _pieces(vocab, text, spark)
     if not library.usable(vocab):
         return merged(vocab, pretokens_of(vocab, text), spark)
     sent, plain = Sent(ship(spark), vocab), library.takes(text)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes a core up to which a table of few files is spread.
 SMALL = 32 << 20
+#: Bytes of an Arrow batch that goes to the engine's Python workers.
+BATCH = 4 << 20
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, str] = {}
 _own_dir: list[str] = []
@@ -31,6 +33,15 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches end at BATCH bytes: by rows alone they grow with the tables, and every worker holds several copies."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return spark
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, spread over all cores where it is small and has fewer files than they: one row group is one task."""
     df = ship(spark).read.parquet(path)
