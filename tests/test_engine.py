@@ -436,3 +436,29 @@ def test_batches_for_python_are_bounded_by_bytes(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), vocabulary())
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH
+
+
+def test_workers_handle_bounded_slices():
+    import pyarrow as pa
+    from tokenframe.memory import by_slices, weights
+
+    lists = pa.array([[1] * (i % 40) if i % 7 else None for i in range(500)], pa.list_(pa.int32()))
+    texts = pa.array([["é" * (i % 9)] * (i % 5) if i % 11 else None for i in range(500)], pa.list_(pa.string()))
+    for whole in (lists, texts, lists.slice(3, 300), pa.array(["x" * (i % 30) for i in range(200)] + [None])):
+        seen = []
+        assert by_slices(lambda own: seen.append(own) or own, whole.type, whole, most=700).equals(whole)
+        assert len(seen) > 3 and all(len(x) == 1 or weights(x).sum() <= 700 for x in seen)
+    assert by_slices(lambda own: own, lists.type, lists.slice(0, 0)).equals(lists.slice(0, 0))
+
+
+def test_decoding_tells_byte_runs_from_tokens(spark):
+    vocab = toy_pieces()
+    back, byte, a = Decoder(vocab), vocab.byte_ids, vocab.model_ids[b"a"]
+    rows = [[a, byte[0xC3], byte[0xA9], a], [byte[0xC3], a, byte[0xA9]], [], None, [a] * 5000 + [byte[0x80]]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, ids array<int>")
+    assert [r["text"] for r in decode(df, vocab).orderBy("doc_id").collect()] == ["aéa", "�a�", "", None, "a" * 5000 + "�"]
+    assert [back.text(x) for x in rows if x is not None] == ["aéa", "�a�", "", "a" * 5000 + "�"] and back.raw(rows[0]) == "aéa".encode()
+    with pytest.raises(ValueError):
+        back.raw([-1])
+    with pytest.raises(Exception, match="isn't in the vocabulary"):
+        decode(spark.createDataFrame([([1, None],)], "ids array<int>"), vocab).collect()

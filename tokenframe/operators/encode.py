@@ -19,6 +19,7 @@ from ..functions.normalize import nfc
 from ..functions.patterns import PASSES, Family, _python
 from ..functions.pretokens import pretokens
 from ..functions.skew import spread_join
+from ..memory import by_slices
 from ..session import drop_written, ship, written
 from ..sources.vocabulary import Vocabulary, literal_pattern
 from . import library
@@ -85,15 +86,19 @@ def ids_of(vocab: Vocabulary, text: Column, spark) -> Column:
             _engines.clear()
             _engines[sent.id] = library.Engine(sent.vocab.value)
         none, engine = np.zeros(0, np.int32), _engines[sent.id]
-        rows = [none if t is None else engine.ids(t) for t in texts.to_pylist()]
-        if pieces.null_count < len(pieces):
-            lists = merger(sent).lists(pieces)
-            ends, flat = np.asarray(lists.offsets), lists.values.to_numpy()
-            for i in np.flatnonzero(np.asarray(pieces.is_valid())).tolist():
-                rows[i] = flat[ends[i] : ends[i + 1]]
-        offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-        mask = pa.array(np.asarray(texts.is_null()) & np.asarray(pieces.is_null()))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *rows])), mask=mask)
+
+        def some(own: pa.Array, cut: pa.Array) -> pa.Array:
+            rows = [none if t is None else engine.ids(t) for t in own.to_pylist()]
+            if cut.null_count < len(cut):
+                lists = merger(sent).lists(cut)
+                ends, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+                for i in np.flatnonzero(np.asarray(cut.is_valid())).tolist():
+                    rows[i] = flat[ends[i] : ends[i + 1]]
+            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+            mask = pa.array(np.asarray(own.is_null()) & np.asarray(cut.is_null()))
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *rows])), mask=mask)
+
+        return by_slices(some, pa.list_(pa.int32()), texts, pieces)
 
     return run(F.when(plain, text), pretokens_of(vocab, F.when(~plain, text)))
 
