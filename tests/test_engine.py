@@ -462,3 +462,30 @@ def test_decoding_tells_byte_runs_from_tokens(spark):
         back.raw([-1])
     with pytest.raises(Exception, match="isn't in the vocabulary"):
         decode(spark.createDataFrame([([1, None],)], "ids array<int>"), vocab).collect()
+
+
+def test_malformed_documents_merge_distinct_pieces_once(monkeypatch):
+    from tokenframe.operators.encode import _bytes_words
+
+    own, literal = Merger(vocabulary()), literal_pattern(vocabulary())
+    raw = b"\x80" + b"the cat's \xc3 dog\xf0\x9f\x98 <|endo\x80ftext|>\x80 " * 50 + b"\xe2\x82"
+    words = _bytes_words(own.vocab, literal, raw)
+    assert b"".join(END.encode() if w == 50256 else w if isinstance(w, bytes) else w.encode() for w in words) == raw[1:].replace(b"endo\x80ftext|>\x80", b"endoftext|>")
+    seen, once = [], Merger.piece
+    monkeypatch.setattr(Merger, "piece", lambda self, p: seen.append(p) or once(self, p))
+    got = own.rows([words, None, [], words]).to_pylist()
+    assert len(seen) == len(set(seen)) and got[1:3] == [None, []] and got[0] == got[3]
+    assert got[0] == bytes_ids(own, literal, raw)
+
+
+def test_the_engine_merges_pieces_of_any_cut():
+    from tokenframe.operators import library
+
+    r, deepseek = random.Random(9), vocabulary(Family.DEEPSEEK_V3)
+    assert library.merges(deepseek) and library.merges(vocabulary()) and not library.merges(toy_pieces())
+    unordered = json.loads(json.dumps(SPEC))
+    unordered["model"]["merges"][:2] = unordered["model"]["merges"][1::-1]
+    assert not library.merges(load(unordered))
+    fast, own = library.single(deepseek), Merger(deepseek)
+    pieces = [bytes(r.choice(b"thean \x80\xc3\xa9zq\xff1") for _ in range(r.randint(1, 300))) for _ in range(400)] + [b"a" * 5000, bytes(range(256))]
+    assert all(fast(p) == own.heap(own.first_ids(p)) for p in pieces)

@@ -28,6 +28,7 @@ class Merger:
         self.vocab = vocab
         self.rank_of = {(a, b): (rank, new) for rank, (a, b, new) in enumerate(vocab.merges)}
         self.tags = any(vocab.tokens[a].endswith(b">") and vocab.tokens[b].startswith(LOW_BAR.encode()) for a, b, _ in vocab.merges) if vocab.sentence_piece else False
+        self.fast = None
         self.clear()
 
     def clear(self) -> None:
@@ -56,6 +57,8 @@ class Merger:
             whole = v.model_ids.get(piece.encode("utf-8") if isinstance(piece, str) else piece)
             if whole is not None:
                 return [whole]
+        if self.fast is not None:
+            return self.fast(piece.encode("utf-8") if isinstance(piece, str) else piece)
         ids = self.first_ids(piece)
         return self.heap(ids) if len(ids) >= LONG else self.scan(ids)
 
@@ -173,7 +176,11 @@ def merger(broadcast) -> Merger:
     if broadcast.id not in _mergers:
         if len(_mergers) > 4:
             _mergers.clear()
-        _mergers[broadcast.id] = Merger(broadcast.vocab.value)
+        own = _mergers[broadcast.id] = Merger(broadcast.vocab.value)
+        if broadcast.library:
+            from .library import single
+
+            own.fast = single(own.vocab)
     return _mergers[broadcast.id]
 
 
@@ -183,6 +190,9 @@ class Sent:
     def __init__(self, spark, vocab: Vocabulary):
         self.vocab = small_batches(spark).sparkContext.broadcast(vocab)
         self.id = vocab.digest
+        from .library import merges
+
+        self.library = merges(vocab)
 
 
 def low_bar(text: str) -> str:
