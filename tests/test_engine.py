@@ -489,3 +489,15 @@ def test_the_engine_merges_pieces_of_any_cut():
     fast, own = library.single(deepseek), Merger(deepseek)
     pieces = [bytes(r.choice(b"thean \x80\xc3\xa9zq\xff1") for _ in range(r.randint(1, 300))) for _ in range(400)] + [b"a" * 5000, bytes(range(256))]
     assert all(fast(p) == own.heap(own.first_ids(p)) for p in pieces)
+
+
+def test_the_deduplicating_plan_shuffles_distinct_pieces_only(spark):
+    texts = ["the cat sat " * 500, None, "", "é日 the"] * 3
+    df = spark.createDataFrame([(f"k{i % 5}" if i else None, t) for i, t in enumerate(texts)], "name string, text string").coalesce(1)
+    out = encode_deduplicated(df, vocabulary(), "name")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(words" in plan and "__pieces" not in plan
+    want = encode(df, vocabulary()).select("name", "ids").collect()
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, want)))
+    assert encode_deduplicated(df.limit(0), vocabulary(), "name").collect() == []
+    assert [tuple(r) for r in encode_deduplicated(df.where("text IS NULL").limit(1), vocabulary(), "name").collect()] == [("k1", None)]

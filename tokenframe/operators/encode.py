@@ -3,7 +3,7 @@
 The row-local plan has no shuffle, and streams. Plain texts of a vocabulary that the upstream encoder provably
 serves go to it whole (operators.library); others are cut in the JVM, and each Arrow batch's distinct pre-tokens
 are merged in Python. The deduplicating plan merges each distinct pre-token of the whole input once, at the price
-of three shuffles; it pays only where merging is far dearer than shuffling all pre-tokens.
+of written codes and three shuffles of the distinct pre-tokens of chunks; it pays only where merging is dear.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from ..functions.normalize import nfc
 from ..functions.patterns import PASSES, Family, _python
 from ..functions.pretokens import pretokens
 from ..functions.skew import spread_join
-from ..memory import by_slices
-from ..session import drop_written, ship, written
+from ..memory import by_slices, trim, whole
+from ..session import drop_written, ship, small_batches, written
 from ..sources.vocabulary import Vocabulary, literal_pattern
 from . import library
-from .merge import Merger, Sent, low_bar, merger
+from .merge import Merger, Sent, gathered, low_bar, merger
 
 
 def pretokens_of(vocab: Vocabulary, text: Column) -> Column:
@@ -114,19 +114,77 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "ids
     return df.withColumn(out, ids_of(vocab, F.col(text), df.sparkSession))
 
 
+#: Pre-tokens of a chunk of the deduplicating plan, about.
+CODED = 1 << 20
+
+
+def _coded(batches):
+    """Chunks of documents: their keys, pre-tokens a document (-1 for null), places in the chunk's distinct pre-tokens, and these."""
+    from pyspark import TaskContext
+
+    chunk, held = TaskContext.get().partitionId() << 32, 0
+    known: dict[str, int] = {}
+    keys, sizes, codes = [], [], []
+
+    def row() -> pa.RecordBatch:
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        places = np.concatenate(codes).astype(np.uint16 if len(known) <= 1 << 16 else np.int32)
+        columns = [pa.array([chunk], pa.int64()), one(pa.concat_arrays(keys)), one(pa.concat_arrays(sizes)), pa.array([places.tobytes()], pa.binary()), one(pa.array(list(known), pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "keys", "sizes", "codes", "words"])
+
+    for batch in batches:
+        pieces = whole(batch.column(1))
+        coded = pieces.flatten().dictionary_encode()
+        place = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int32)
+        codes.append(place[coded.indices.to_numpy()])
+        sizes.append(pieces.value_lengths().fill_null(-1))
+        keys.append(whole(batch.column(0)))
+        held += len(coded)
+        if held >= CODED:
+            yield row()
+            chunk, held = chunk + 1, 0
+            known.clear()
+            keys, sizes, codes = [], [], []
+            trim()
+    if keys:
+        yield row()
+
+
+def _uncoded(sizes: pa.Array, codes: pa.Array, parts: pa.Array) -> pa.Array:
+    """The ids of every document of chunks, from the ids of the chunks' distinct pre-tokens."""
+    out = []
+    for size, code, part in zip(*map(whole, (sizes, codes, parts))):
+        counts = size.values.to_numpy()
+        some = int(np.maximum(counts, 0).sum()) > 0
+        at, ids = (part.values.field(0).to_numpy(), part.values.field(1)) if some else (np.zeros(0, np.int64), pa.array([], pa.list_(pa.int32())))
+        place = np.empty(len(at), np.int64)  # of each distinct pre-token among the parts
+        place[at] = np.arange(len(at))
+        piece = place[np.frombuffer(code.as_py(), np.uint16 if len(at) <= 1 << 16 else np.int32)]
+        starts = np.asarray(ids.offsets)[:-1].astype(np.int64)
+        out.append(gathered(ids.values.to_numpy(), starts, ids.value_lengths().to_numpy(), piece, np.maximum(counts, 0), pa.array(counts < 0)))
+    offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32())))
+    trim()
+    return lists
+
+
 def encode_deduplicated(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) by merging each distinct pre-token once; keys may be null and repeat. Null texts give null.
 
-    Common pre-tokens are joined in copies, so none of them is a hot key.
+    Chunks of documents are coded by their own distinct pre-tokens and written. Only those distinct ones are shuffled,
+    with their chunk; common ones are joined in copies, so none of them is a hot key.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("__row"), key, F.col(text).isNull().alias("__null"), pretokens_of(vocab, F.col(text)).alias("__pieces"))
-    pieces = rows.select("__row", key, "__null", F.posexplode_outer("__pieces").alias("pos", "piece"))
-    distinct = pieces.where("piece IS NOT NULL").groupBy("piece").agg(F.count("*").alias("__n"))
+    kind = df.schema[key].dataType.simpleString()
+    small_batches(ship(df.sparkSession))
+    rows = df.select(F.col(key).alias("__key"), pretokens_of(vocab, F.col(text)).alias("__pieces"))
+    coded = written(rows.mapInArrow(_coded, f"chunk long, keys array<{kind}>, sizes array<int>, codes binary, words array<string>"), "coded")
+    pieces = coded.select("chunk", F.posexplode("words").alias("at", "piece"))
+    distinct = pieces.groupBy("piece").agg(F.count("*").alias("__n"))
     ids = distinct.select("piece", "__n", F.get(F.array(merged(vocab, F.array("piece"), df.sparkSession)), 0).alias("piece_ids"))
-    joined = spread_join(pieces, ids, "piece", "__n")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece_ids"))))
-    whole = joined.groupBy("__row", key, "__null").agg(F.flatten(F.transform(ordered, lambda x: x["piece_ids"])).alias("ids"))
-    return whole.select(key, F.when(~F.col("__null"), F.col("ids")).alias("ids"))
+    parts = spread_join(pieces, ids, "piece", "__n").groupBy("chunk").agg(F.collect_list(F.struct("at", "piece_ids")).alias("parts"))
+    chunks = coded.select("chunk", "keys", "sizes", "codes").join(parts, "chunk", "left")
+    rejoined = F.arrow_udf(_uncoded, "array<array<int>>")("sizes", "codes", "parts")  # its batches end at so many bytes; mapInArrow's don't
+    return chunks.select("keys", rejoined.alias("ids")).select(F.explode(F.arrays_zip("keys", "ids")).alias("x")).select(F.col("x.keys").alias(key), "x.ids")
 
 
 def explain_pretokens(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:

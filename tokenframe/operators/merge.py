@@ -21,6 +21,17 @@ _EACH = 150
 _WORD, _WORD_OR_TAG = re.compile(f"{LOW_BAR}*[^{LOW_BAR}]+|{LOW_BAR}+"), re.compile(f"{LOW_BAR}*(?:[^{LOW_BAR}]|(?<=>){LOW_BAR})+|{LOW_BAR}+")
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piece: np.ndarray, counts: np.ndarray, mask: pa.Array | None) -> pa.Array:
+    """Arrays of ids: for each row so many consecutive pieces, whose ids lie in `flat`."""
+    sizes = lengths[piece].astype(np.int64)
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    ids = flat[np.arange(total) + np.repeat(starts[piece] - (ends - sizes), sizes)]
+    stops = np.concatenate(([0], ends))[np.cumsum(counts)]
+    offsets = np.concatenate(([0], stops)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=mask)
+
+
 class Merger:
     """Exact greedy merging: always the lowest rank, leftmost first."""
 
@@ -130,14 +141,7 @@ class Merger:
 
     def ids_at(self, piece: np.ndarray, counts: np.ndarray, mask: pa.Array | None = None) -> pa.Array:
         """Arrays of ids of consecutive pieces, so many for each row."""
-        starts = np.cumsum(self.sizes) - self.sizes
-        sizes = self.sizes[piece]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(starts[piece] - (ends - sizes), sizes)]
-        stops = np.concatenate(([0], ends))[np.cumsum(counts)]
-        offsets = np.concatenate(([0], stops)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=mask)
+        return gathered(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, piece, counts, mask)
 
     def lists(self, pieces: pa.Array) -> pa.Array:
         """Arrays of pre-tokens to arrays of ids; each distinct pre-token of a slice is looked up once."""
