@@ -650,6 +650,33 @@ def test_languages_equal_one_text_at_a_time(spark):
         assert lang == names[won] and abs(score - 1 / (1 + np.exp(-2 * np.clip(min(sure), -15, 15)))) < 1e-4
 
 
+def test_ngrams_are_those_of_single_words_in_little_memory():
+    import tracemalloc
+
+    from tokenframe.llm import words
+
+    texts = ["", "a", "日本", "naïve", *(f"{i * 7919:x}" for i in range(40_000))]
+    together = pa.array(texts, pa.string())
+    tracemalloc.start()
+    buckets, grams = words.ngrams(together, 3, 6, 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(buckets)  # of which the result has four bytes each
+    ends = np.cumsum(grams)
+    for i in [*range(200), len(texts) - 1]:
+        own, n = words.ngrams(pa.array([texts[i]]), 3, 6, 18)
+        word = f"<{texts[i]}>".encode()
+        assert buckets[ends[i] - grams[i] : ends[i]].tolist() == own.tolist() and n.tolist() == [sum(max(0, len(word) - k + 1) for k in range(3, 7))]
+        want = []
+        for k in range(3, 7):
+            for j in range(len(word) - k + 1):
+                h = 0
+                for b in word[j : j + k]:
+                    h = (h * 1_000_003 + b + 1) % (1 << 64)
+                want.append(((h ^ (h >> 29)) * 0x9E3779B97F4A7C15) % (1 << 64) >> 46)
+        assert own.tolist() == want
+
+
 def test_three_close_languages():
     r = random.Random(6)
     text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(60))

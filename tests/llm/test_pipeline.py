@@ -67,3 +67,13 @@ def test_null_and_repeated_ids_lose_no_group(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [*rows[:3], rows[4], rows[7]]))
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_send_python_batches_bounded_by_bytes(spark, tmp_path, name):
+    from tokenframe.session import BATCH
+
+    spark.createDataFrame([(i, i % 2) for i in range(18)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame(odd_documents(), DOCS), str(tmp_path))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..memory import trim
-from ..session import drop_written, read_parquet, ship, written
+from ..session import drop_written, read_parquet, ship, small_batches, written
 
-__all__ = ["drop_written", "ship", "trim", "written"]
+__all__ = ["drop_written", "ship", "small_batches", "trim", "written"]
 #: Text bytes that one numpy pass handles at a time; it bounds a worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import segment_sums, share_bound, share_hash, ship, table, text_chunks
+from .common import segment_sums, share_bound, share_hash, ship, small_batches, table, text_chunks
 from .toxicity import fold
 
 TRAIN_ROWS, TRAIN_CHARS = 400, 20_000
@@ -210,7 +210,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
 
 def predict(docs: DataFrame, model: Model, *keep) -> DataFrame:
     """(the kept columns, lang_pred, score) of every row."""
-    sent = ship(docs.sparkSession).sparkContext.broadcast(model)
+    sent = small_batches(ship(docs.sparkSession)).sparkContext.broadcast(model)
     inputs = docs.select(*keep, F.col("text").alias("__text"))
     schema = inputs.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
@@ -236,7 +236,7 @@ def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     So null, empty and letterless texts go; very long ones are read whole; repeated rows and null ids stay as they are; ties
     go as in the operator; an empty table stays empty. Columns keep their names, whatever they are.
     """
-    sent = ship(spark).sparkContext.broadcast(train(docs))
+    sent = small_batches(ship(spark)).sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
 
     def run(batches):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table, written
+from .common import ship, small_batches, table, written
 
 LENGTH, END_ID = 2048, 0
 #: Pieces of one hash bucket, about.
@@ -84,7 +84,7 @@ def piece_bounds(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 def cut(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    ship(docs.sparkSession)
+    small_batches(ship(docs.sparkSession))
     vocabulary = vocabulary or default_vocabulary()
 
     def pieces(batches):

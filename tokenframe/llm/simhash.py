@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.skew import spread_join
-from .common import drop_written, ship, table, written
+from .common import drop_written, ship, small_batches, table, written
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -64,7 +64,7 @@ def _fingerprints(batches):
 
 def with_fingerprints(docs: DataFrame, *keep) -> DataFrame:
     """(doc_id, the kept long columns, fp long) for every row."""
-    ship(docs.sparkSession)
+    small_batches(ship(docs.sparkSession))
     inputs = docs.select(F.col("doc_id").cast("long"), "text", *keep)
     return inputs.mapInArrow(_fingerprints, inputs.drop("text").schema.add("fp", "long"))
 

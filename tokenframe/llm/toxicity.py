@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import hash_share, ranges, segment_sums, ship, table, text_chunks
+from .common import hash_share, ranges, segment_sums, ship, small_batches, table, text_chunks
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 12_000
 WINDOW, DIM, BITS = 1, 4, 18
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 
 def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """(the kept columns, score) of every row."""
-    sent = ship(docs.sparkSession).sparkContext.broadcast(model)
+    sent = small_batches(ship(docs.sparkSession)).sparkContext.broadcast(model)
     inputs = docs.select(*keep, F.col("text").alias("__text"))
     schema = inputs.drop("__text").schema.add("score", "double")
 
@@ -218,7 +218,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay as they are; an empty table stays empty, and without labels all rows stay. Columns keep their names.
     """
     model = train(docs, table(spark, sf_dir, "labels"))
-    sent = ship(spark).sparkContext.broadcast(model)
+    sent = small_batches(ship(spark)).sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):

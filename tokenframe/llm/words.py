@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import ranges
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,24 +38,27 @@ def ngrams(words: pa.Array, least: int, most: int, bits: int) -> tuple[np.ndarra
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     marked = pc.binary_join_element_wise("<", words.cast(pa.string()), ">", "").cast(pa.binary())
     offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + n + 1].astype(np.int64)
-    raw = np.frombuffer(marked.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
-    offsets = offsets - offsets[0]
+    raw = np.frombuffer(marked.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     sizes = np.diff(offsets)
-    word = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    room = (np.repeat(offsets[1:], sizes) - np.arange(len(raw))).astype(np.int32)
-    buckets, owners = [], []
-    rolling = np.zeros(len(raw), np.uint64)
+    room = np.repeat((offsets[1:] - offsets[0]).astype(np.int32), sizes)  # bytes of the word from each byte on
+    room -= np.arange(len(raw), dtype=np.int32)
+    each = [np.maximum(0, sizes - size + 1) for size in range(least, most + 1)]
+    grams = sum(each)
+    places = np.cumsum(grams) - grams
+    buckets, rolling = np.empty(int(grams.sum()), np.int32), np.zeros(len(raw), np.uint64)
     for size in range(1, most + 1):
         if len(raw) < size:
             break
-        rolling = rolling[: len(raw) - size + 1] * np.uint64(1_000_003) + raw[size - 1 :] + np.uint64(1)
+        rolling = rolling[: len(raw) - size + 1]
+        rolling *= np.uint64(1_000_003)
+        rolling += raw[size - 1 :]
+        rolling += np.uint64(1)
         if size >= least:
-            fits = room[: len(rolling)] >= size
-            mixed = (rolling[fits] ^ (rolling[fits] >> np.uint64(29))) * _MULTIPLIER
-            buckets.append((mixed >> np.uint64(64 - bits)).astype(np.int32))
-            owners.append(word[: len(rolling)][fits])
-    if not buckets:
-        return np.zeros(0, np.int32), np.zeros(n, np.int64)
-    owners = np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate(buckets)[order], np.bincount(owners, minlength=n)
+            mixed = rolling[room[: len(rolling)] >= size]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= _MULTIPLIER
+            mixed >>= np.uint64(64 - bits)
+            own = each[size - least]
+            buckets[ranges(places, own)] = mixed
+            places = places + own
+    return buckets, grams
